@@ -1,0 +1,180 @@
+"""Parsing, filters, labels, the release window and the feature job."""
+
+from datetime import date, timedelta
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from sentimill import (
+    build_features,
+    default_releases,
+    feature_line,
+    parse_quoted_lines,
+    parse_review_lines,
+    parse_training_lines,
+    rating_label,
+    read_releases,
+    release_calendar,
+    release_days,
+    releases_by_year,
+    run_features,
+    sentiment_label,
+    with_after_release,
+    with_body,
+)
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+GOOD = [
+    ("Mar 13 2016,1,3,ok", ("ok", True, "1", 1)),
+    ("Mar 20 2016,1,2,ok", ("ok", True, "1", 0)),
+    ("Mar 21 2016,1,5,ok", ("ok", False, "1", 1)),
+    ("mar 14 2016,1,4,good, really", ("good", True, "1", 1)),
+    (" Nov 20 2017 , 3.2 , -1 ,  spaced \r", ("spaced", False, "3.2", 0)),
+    ("Feb 30 2016,1,+3,ok", ("ok", False, "1", 1)),
+]
+
+
+@pytest.mark.parametrize("line, want", GOOD)
+def test_features(spark, lines, line, want):
+    assert rows(build_features(lines(line), default_releases(spark))) == [want]
+
+
+BAD = [
+    ("Mar 14 2016,1,4,", "fewer than 4 fields"),
+    ("", "fewer than 4 fields"),
+    ("Mar 14 2016,1,4.5,ok", "rating is not an integer"),
+    ("Mar 14 2016,1,,ok", "rating is not an integer"),
+    ("Mar 14 2018,1,4,ok", "no releases known"),
+    ("Mar 4 2016,1,4,ok", "not a MMM dd yyyy date"),
+    (",1,4,ok", "not a MMM dd yyyy date"),
+]
+
+
+@pytest.mark.parametrize("line, message", BAD)
+def test_malformed_lines_fail(spark, lines, line, message):
+    with pytest.raises(Exception, match=message):
+        build_features(lines(line), default_releases(spark)).collect()
+
+
+def test_malformed_lines_dropped(spark, lines):
+    frame = lines(*[b for b, _ in BAD], *[g for g, _ in GOOD])
+    got = build_features(frame, default_releases(spark), on_error="drop")
+    assert rows(got) == sorted(w for _, w in GOOD)
+
+
+def test_unknown_policy(spark, lines):
+    with pytest.raises(ValueError):
+        build_features(lines(""), default_releases(spark), on_error="ignore")
+
+
+def test_blank_body_leaves_before_its_date_is_read(spark, lines):
+    frame = lines("bad date,1,x, ", "Mar 14 2016,1,4,ok")
+    assert rows(build_features(frame, default_releases(spark))) == [("ok", True, "1", 1)]
+
+
+def test_with_body(lines):
+    reviews = with_body(parse_review_lines(lines("a,b,c, ", "a,b,c, x ", "a,b,c,\t,y")))
+    assert rows(reviews) == [("a", "x", "c", "b")]
+
+
+def test_quoted_lines(lines):
+    frame = lines('"1","d","a, b","pos","u"', '"1","d","t","s"')
+    assert rows(parse_quoted_lines(frame)) == [("a, b", "d", "pos"), ("t", "d", 's"')]
+    with pytest.raises(Exception, match="fewer than 4 fields"):
+        parse_quoted_lines(lines('"1","d","t"')).collect()
+    assert parse_quoted_lines(lines('"1","d","t"'), on_error="drop").count() == 0
+
+
+def test_training_lines(lines):
+    frame = lines("good,TRUE,1.0,1", "so so,t,2,0.0", "x,yes,,1e0", " y , true,3,1,more")
+    assert rows(parse_training_lines(frame)) == [
+        (" y ", False, "3", 1.0),
+        ("good", True, "1.0", 1.0),
+        ("so so", False, "2", 0.0),
+        ("x", False, "", 1.0),
+    ]
+    with pytest.raises(Exception, match="label is not a number"):
+        parse_training_lines(lines("a,true,1,one")).collect()
+    assert parse_training_lines(lines("a,true,1,one", "a"), on_error="drop").count() == 0
+
+
+def test_labels(spark):
+    ratings = spark.createDataFrame([("1",), ("2",), ("3",), ("5",), ("-7",)], "r string")
+    assert [r[0] for r in ratings.select(rating_label("r")).collect()] == [0, 0, 1, 1, 0]
+    words = spark.createDataFrame([("Neutral",), ("positive",), ("Negative",), ("",)], "w string")
+    assert [r[0] for r in words.select(sentiment_label("w")).collect()] == [1, 1, 0, 0]
+
+
+def test_null_is_written_as_a_word(spark):
+    df = spark.createDataFrame(
+        [("t", None, None, 1)], "text string, afterRelease boolean, version string, label int"
+    )
+    assert df.select(feature_line()).first()[0] == "t,null,null,1"
+
+
+def test_default_calendar(spark):
+    calendar = default_releases(spark)
+    assert calendar.count() == 40
+    by_year = {r["year"]: r["releases"] for r in releases_by_year(calendar).collect()}
+    assert sorted(by_year) == list(range(2008, 2018))
+    assert all(len(r) == 4 for r in by_year.values())
+    assert by_year[2016] == [date(2016, 3, 13), date(2016, 5, 22), date(2016, 8, 21), date(2016, 11, 13)]
+
+
+def test_read_releases(spark, tmp_path):
+    file = tmp_path / "calendar.txt"
+    file.write_text("3/13/2008\n11/1/2009\n03/02/2009\n\n")
+    want = [date(2008, 3, 13), date(2009, 3, 2), date(2009, 11, 1)]
+    assert sorted(r[0] for r in read_releases(spark, str(file)).collect()) == want
+    file.write_text("3/13/2008\nsoon\n")
+    with pytest.raises(Exception, match="release date"):
+        read_releases(spark, str(file)).collect()
+    assert read_releases(spark, str(file), on_error="drop").count() == 1
+
+
+def test_window_ends_with_the_year(spark):
+    calendar = release_calendar(spark, [date(2015, 12, 28), date(2016, 6, 1)])
+    days = {r["day"]: r["in_window"] for r in release_days(calendar).collect()}
+    assert len(days) == 365 + 366
+    assert days[date(2015, 12, 31)] and not days[date(2016, 1, 1)]
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    releases=st.lists(st.dates(date(2010, 1, 1), date(2012, 12, 31)), min_size=1, max_size=12),
+    days=st.lists(st.dates(date(2009, 12, 1), date(2013, 1, 31)), min_size=1, max_size=30),
+)
+def test_window_against_brute_force(spark, releases, days):
+    frame = spark.createDataFrame(list(enumerate(days)), "i int, date date")
+    calendar = release_calendar(spark, releases)
+    got = with_after_release(frame, calendar, on_error="drop").select("i", "afterRelease")
+    want = []
+    for i, day in enumerate(days):
+        same_year = [r for r in releases if r.year == day.year]
+        if same_year:
+            want.append((i, any(r <= day <= r + timedelta(days=7) for r in same_year)))
+    assert rows(got) == want
+
+
+def test_window_join_does_not_shuffle_the_reviews(spark, lines):
+    features = build_features(lines("Mar 13 2016,1,3,ok"), default_releases(spark))
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_feature_job(spark, tmp_path):
+    (tmp_path / "reviews.csv").write_bytes(b"mar 14 2016,1,4,good\r\n\nNov 30 2016,2,1,bad, x\n\n\n")
+    run_features(spark, str(tmp_path / "reviews.csv"), str(tmp_path / "out"))
+    got = sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert got == ["bad,false,2,0", "good,true,1,1"]
+    with pytest.raises(Exception, match="fewer than 4 fields"):
+        run_features(
+            spark, str(tmp_path / "reviews.csv"), str(tmp_path / "strict"), blank_lines="inner"
+        )
