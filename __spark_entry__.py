@@ -529,7 +529,9 @@ n AS (SELECT count(*) AS n FROM documents),
 freq AS (SELECT b.bucket, count(c.doc_id) AS doc_freq
          FROM (SELECT CAST(range AS INTEGER) AS bucket FROM range(1000)) b
          LEFT JOIN cells c ON b.bucket = c.bucket GROUP BY b.bucket)
-SELECT bucket, doc_freq, round({_idf("n", "doc_freq")}, 6) AS idf FROM freq CROSS JOIN n""",
+SELECT bucket, CASE WHEN doc_freq >= 10 THEN doc_freq ELSE 0 END AS doc_freq,
+       round({_idf("n", "doc_freq")}, 6) AS idf
+FROM freq CROSS JOIN n""",
         "score_messages": """
 SELECT l.doc_id, false AS "afterRelease", '0' AS version, CAST(0 AS DOUBLE) AS label,
        'Sentiment is ' || CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS message

@@ -70,7 +70,10 @@ def hashed_idf(
     num_features: int = PARAMS["num_features"],
     min_doc_freq: int = PARAMS["min_doc_freq"],
 ) -> DataFrame:
-    """``bucket, doc_freq, idf`` of a fitted IDF (M3), one row per bucket."""
+    """``bucket, doc_freq, idf`` of a fitted IDF (M3), one row per bucket.
+
+    Both numbers are 0 for a bucket in fewer than ``min_doc_freq`` documents.
+    """
     words = Tokenizer(inputCol=text, outputCol="words").transform(df.select(text))
     hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features).transform(words)
     model = IDF(inputCol="tf", outputCol="features", minDocFreq=min_doc_freq).fit(hashed)

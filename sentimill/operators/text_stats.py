@@ -78,28 +78,26 @@ def idf_weight(n_docs: Column, doc_freq: Column, min_doc_freq: int) -> Column:
 def tf_idf(df: DataFrame, doc_id: str, text: str = "text", min_doc_freq: int = 10) -> DataFrame:
     """``doc_id, term, tf, df, idf, tf_idf`` for every term of every document.
 
-    The frequent terms would put their many rows on one task of a join by term.
-    They get their document frequency from a small broadcast instead and are
-    spread over all tasks; the other terms meet theirs in the shuffle.
+    The frequent terms, most of the rows, would crowd on a few tasks of a join by
+    term. They get their document frequency from a small broadcast and are never
+    shuffled. Each of the other terms has less than one in ``HOT_TERMS`` of the
+    rows, so these spread evenly over the tasks of a shuffled join. Reading the
+    text once for each kind costs less than shuffling the frequent terms.
     """
     tf = term_frequencies(df, doc_id, text)
     doc_freq = document_frequencies(df, text)
     pairs = doc_freq.agg(F.sum("df")).scalar()
-    hot = doc_freq.filter(
-        (F.length("term") <= HOT_TERM_CHARS) & (F.col("df") > pairs / HOT_TERMS)
-    ).select("term", F.col("df").alias("hot_df"))
-
-    spread = F.when(F.col("hot_df").isNull(), F.lit(0)).otherwise(F.hash(doc_id))
-    marked = tf.join(F.broadcast(hot), "term", "left").withColumn("spread", spread)
-    joined = marked.join(doc_freq.withColumn("spread", F.lit(0)), ["term", "spread"], "left")
-
-    both = F.coalesce("hot_df", "df")
+    hot = F.broadcast(
+        doc_freq.filter(
+            (F.length("term") <= HOT_TERM_CHARS) & (F.col("df") > pairs / HOT_TERMS)
+        )
+    )
+    weighted = tf.join(hot, "term").unionByName(
+        tf.join(hot, "term", "left_anti").join(doc_freq, "term")
+    )
     n_docs = df.agg(F.count("*")).scalar()
-    return joined.select(doc_id, "term", "tf", both.alias("df")).select(
-        doc_id,
-        "term",
-        "tf",
-        "df",
-        idf_weight(n_docs, F.col("df"), min_doc_freq).alias("idf"),
-        (F.col("tf") * idf_weight(n_docs, F.col("df"), min_doc_freq)).alias("tf_idf"),
+    return (
+        weighted.withColumn("idf", idf_weight(n_docs, F.col("df"), min_doc_freq))
+        .withColumn("tf_idf", F.col("tf") * F.col("idf"))
+        .select(doc_id, "term", "tf", "df", "idf", "tf_idf")
     )

@@ -36,24 +36,52 @@ def read_object_lines(
     if blank_lines == "skip":
         return text
 
-    # Row ids grow along a file split; the split's offset orders the splits.
-    placed = lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(
+    return text.unionByName(_inner_blank_lines(lines))
+
+
+# Rows made from one array when blank lines are written out again.
+_CHUNK = 10_000
+
+
+def _inner_blank_lines(lines: DataFrame) -> DataFrame:
+    """The empty lines of ``lines`` that have text after them in their file.
+
+    Works on one row per file split, combined before the shuffle: row ids are
+    consecutive within a split, so the distance from the last text to the last
+    row is the number of blank lines at its end.
+    """
+    row = F.monotonically_increasing_id()
+    splits = (
+        lines.select(
+            (F.col("value") == "").alias("blank"),
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("place"),
+            row.alias("row"),
+        )
+        .groupBy("file", "split")
+        .agg(
+            F.count_if("blank").alias("n_blank"),
+            F.max("row").alias("last_row"),
+            F.max(F.when(~F.col("blank"), F.col("row"))).alias("last_text"),
+        )
+    )
+    at_end = F.col("last_row") - F.col("last_text")
+    tails = (
+        splits.filter(F.col("last_text").isNotNull())
+        .groupBy("file")
+        .agg(F.max(F.struct(F.col("split"), at_end.alias("n"))).alias("tail"))
     )
-    last_text = (
-        placed.filter(F.col("value") != "").groupBy("file").agg(F.max("place").alias("last"))
+    n_inner = F.when(F.col("split") < F.col("tail.split"), F.col("n_blank")).when(
+        F.col("split") == F.col("tail.split"), F.col("n_blank") - F.col("tail.n")
     )
-    inner = (
-        placed.filter(F.col("value") == "")
-        .join(last_text, "file")
-        .filter(F.col("place") < F.col("last"))
+    return (
+        splits.join(tails, "file")
+        .select(n_inner.alias("n"))
+        .filter(F.col("n") > 0)
+        .select("n", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(_CHUNK).cast("long"))).alias("at"))
+        .select(F.least(F.lit(_CHUNK), F.col("n") - F.col("at") + 1).cast("int").alias("n"))
+        .select(F.explode(F.array_repeat(F.lit(""), F.col("n"))).alias("value"))
     )
-    return text.unionByName(inner.select("value"))
 
 
 def read_training_rows(

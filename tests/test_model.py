@@ -1,0 +1,176 @@
+"""The classifier, scoring in batch and on a stream, on the driver's smallest tables."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+import sentimill as sm
+from sentimill import schemas
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    return documents.join(labels, "doc_id").select(
+        "doc_id", F.col("text").alias("review"), F.col("quality").cast("double").alias("label")
+    )
+
+
+@pytest.fixture(scope="module")
+def model(rows):
+    return sm.train(rows)
+
+
+def predictions(df):
+    return {r["doc_id"]: (r["prediction"], r["message"]) for r in df.collect()}
+
+
+def test_parameters():
+    _, hashing, idf, regression = sm.build_pipeline().getStages()
+    assert hashing.getNumFeatures() == 1000 and not hashing.getBinary()
+    assert idf.getMinDocFreq() == 10
+    assert regression.getMaxIter() == 10 and regression.getRegParam() == 0.01
+    assert regression.getElasticNetParam() == 0.0 and regression.getThreshold() == 0.5
+    assert regression.getStandardization() and regression.getFitIntercept()
+
+
+def test_default_variant_has_the_defaults_of_spark():
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+
+    _, hashing, _, regression = sm.build_pipeline(**sm.DEFAULT_PARAMS).getStages()
+    assert hashing.getNumFeatures() == HashingTF().getNumFeatures()
+    assert regression.getMaxIter() == LogisticRegression().getMaxIter()
+    assert regression.getRegParam() == LogisticRegression().getRegParam()
+
+
+def test_staged_fit_equals_the_plain_pipeline(rows, model):
+    plain = sm.build_pipeline().fit(rows.select("review", "label"))
+    assert np.allclose(plain.stages[2].idf.toArray(), model.stages[2].idf.toArray())
+    assert np.allclose(plain.stages[3].coefficients.toArray(), model.stages[3].coefficients.toArray())
+    assert [type(s) for s in plain.stages] == [type(s) for s in model.stages]
+
+
+def test_fit_releases_its_cache(spark, rows):
+    sm.train(rows)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_columns_of_the_transform(model, rows):
+    scored = model.transform(sm.with_defaults(rows.select("review")))
+    assert scored.columns == [
+        *[f.name for f in schemas.TRAINING],
+        "words",
+        "rawFeatures",
+        "features",
+        "rawPrediction",
+        "probability",
+        "prediction",
+    ]
+    assert [(f.name, f.dataType) for f in scored.schema][:4] == [
+        (f.name, f.dataType) for f in schemas.TRAINING
+    ]
+
+
+def test_predictions_follow_the_fitted_weights(model, rows):
+    regression = model.stages[3]
+    weights, intercept = regression.coefficients.toArray(), regression.intercept
+    scored = model.transform(rows).select(
+        vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p"), "prediction"
+    )
+    for r in scored.collect():
+        p = 1 / (1 + math.exp(-(np.dot(weights, r["x"]) + intercept)))
+        assert r["p"] == pytest.approx(p) and r["prediction"] == float(p > 0.5)
+
+
+def test_regression_improves_on_the_label_share(model, rows):
+    """The fitted loss beats the best constant answer, and ten steps come close to
+    the optimum of a plain numpy gradient descent on the same features."""
+    scored = model.transform(rows).select(vector_to_array("features").alias("x"), "label").collect()
+    x, y = np.array([r["x"] for r in scored]), np.array([r["label"] for r in scored])
+    scale = x.std(axis=0, ddof=1)
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.005 * np.sum((w * scale) ** 2)
+
+    regression = model.stages[3]
+    fitted = loss(regression.coefficients.toArray(), regression.intercept)
+    share = y.mean()
+    assert fitted < loss(np.zeros(x.shape[1]), math.log(share / (1 - share)))
+
+    used = scale > 0
+    u, w, b = x[:, used] / scale[used], np.zeros(used.sum()), math.log(share / (1 - share))
+    step = 1 / (0.25 * np.linalg.norm(np.c_[u, np.ones(len(u))], 2) ** 2 / len(u) + 0.01)
+    for _ in range(3000):
+        error = 1 / (1 + np.exp(-(u @ w + b))) - y
+        w, b = w - step * (u.T @ error / len(y) + 0.01 * w), b - step * error.mean()
+    best = np.zeros(x.shape[1])
+    best[used] = w / scale[used]
+    assert fitted < loss(best, b) + 0.1
+
+
+def test_saved_model_scores_the_same(model, rows, tmp_path):
+    path = str(tmp_path / "model")
+    sm.save_model(model, path)
+    sm.save_model(model, path)  # replaces the first
+    assert predictions(sm.run_score(path, rows)) == predictions(sm.score(model, rows))
+
+
+def test_score_passes_other_columns_through(model, rows):
+    scored = sm.score(model, rows)
+    assert scored.columns == [*rows.columns, "prediction", "message"]
+    assert scored.groupBy("label").count().collect() == rows.groupBy("label").count().collect()
+    one = sm.score(model, rows.select("review").limit(1)).first()
+    word = "positive" if one["prediction"] == 1.0 else "negative"
+    assert one["message"] == f"Sentiment is {word}"
+
+
+def test_scoring_defaults(spark):
+    df = sm.with_defaults(spark.createDataFrame([("fine",)], "review string"))
+    assert tuple(df.first()) == ("fine", False, "0", 0.0)
+
+
+def test_message(spark):
+    df = spark.createDataFrame([(1.0,), (0.0,), (2.0,)], "prediction double")
+    assert [r[0] for r in df.select(sm.sentiment_message()).collect()] == [
+        "Sentiment is positive",
+        "Sentiment is negative",
+        "Sentiment is negative",
+    ]
+
+
+def test_stream_scores_like_batch_and_goes_on_after_a_restart(spark, model, tmp_path):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(
+        "doc_id", F.col("text").alias("review")
+    )
+    source, target, checkpoint = (str(tmp_path / n) for n in ("source", "target", "checkpoint"))
+    first, second = documents.filter("doc_id < 50"), documents.filter("doc_id >= 50")
+    for part in (first, second):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(documents.schema).parquet(source)
+        sm.score_stream(model, stream, target, checkpoint).awaitTermination()
+    scored = spark.read.parquet(target)
+    assert scored.count() == documents.count()
+    assert predictions(scored) == predictions(sm.score(model, documents))
+
+
+def test_all_jobs_in_a_row(spark, tmp_path):
+    """Review lines through files: features, training, scoring."""
+    good, bad = "great app love it", "awful crash hate it"
+    with open(tmp_path / "reviews.csv", "w") as f:
+        for i in range(60):
+            f.write(f"mar {i % 28 + 1:02d} 2016,1.{i},{5 if i % 2 else 1},{good if i % 2 else bad}, etc\n")
+    features, model_path = str(tmp_path / "features"), str(tmp_path / "model")
+    sm.run_features(spark, str(tmp_path / "reviews.csv"), features)
+    sm.run_train(spark, features, model_path)
+    reviews = spark.createDataFrame([(good,), (bad,)], "review string")
+    # Every term is in half of the reviews, so its weight is not zero.
+    answers = dict(sm.run_score(model_path, reviews).select("review", "message").collect())
+    assert answers == {good: "Sentiment is positive", bad: "Sentiment is negative"}
