@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sm.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _labelled(spark, sf_dir) -> DataFrame:

@@ -58,10 +58,8 @@ def hashed_counts(
     words = Tokenizer(inputCol=text, outputCol="words").transform(df.select(doc_id, text))
     hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features).transform(words)
     sparse = F.unwrap_udt("tf")
-    return (
-        hashed.select(doc_id, F.arrays_zip(sparse["indices"], sparse["values"]).alias("cells"))
-        .select(doc_id, F.inline("cells").alias("bucket", "tf"))
-    )
+    cells = F.map_from_arrays(sparse["indices"], sparse["values"])
+    return hashed.select(doc_id, F.explode(cells).alias("bucket", "tf"))
 
 
 def hashed_idf(

@@ -6,11 +6,16 @@ classifier.
 from pyspark.ml.feature import Tokenizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Terms held by more than one in HOT_TERMS of all (document, term) pairs are
-# broadcast. Fewer than HOT_TERMS terms can be that frequent, so at most
-# HOT_TERMS * HOT_TERM_CHARS characters are broadcast, whatever the data.
+from ..session import shared_path
+
+# A vocabulary up to this size is broadcast whole.
+BROADCAST_BYTES = 64 << 20
+
+# Of a larger one, the terms that hold more than one in HOT_TERMS of all
+# (document, term) pairs are. Fewer than HOT_TERMS terms can be that frequent, so
+# at most HOT_TERMS * HOT_TERM_BYTES are broadcast, whatever the data.
 HOT_TERMS = 4096
-HOT_TERM_CHARS = 256
+HOT_TERM_BYTES = 1024
 
 
 def tokens(df: DataFrame, text: str = "text", words: str = "words") -> DataFrame:
@@ -78,24 +83,34 @@ def idf_weight(n_docs: Column, doc_freq: Column, min_doc_freq: int) -> Column:
 def tf_idf(df: DataFrame, doc_id: str, text: str = "text", min_doc_freq: int = 10) -> DataFrame:
     """``doc_id, term, tf, df, idf, tf_idf`` for every term of every document.
 
-    The frequent terms, most of the rows, would crowd on a few tasks of a join by
-    term. They get their document frequency from a small broadcast and are never
-    shuffled. Each of the other terms has less than one in ``HOT_TERMS`` of the
-    rows, so these spread evenly over the tasks of a shuffled join. Reading the
-    text once for each kind costs less than shuffling the frequent terms.
+    Calling it counts the documents and writes the vocabulary with its document
+    frequencies to the shared folder. A small vocabulary is broadcast. A large one
+    meets the term counts in a join by term, where the frequent terms, most of the
+    rows, would crowd on a few tasks: these alone are broadcast and never
+    shuffled, and each other term has less than one in ``HOT_TERMS`` of the rows.
     """
+    spark = df.sparkSession
+    path = shared_path(spark, "document-frequencies")
+    document_frequencies(df, text).write.parquet(path)
+    doc_freq = spark.read.parquet(path)
+    size = doc_freq.agg(
+        F.sum(F.octet_length("term") + 32).alias("bytes"), F.sum("df").alias("pairs")
+    ).first()
+
     tf = term_frequencies(df, doc_id, text)
-    doc_freq = document_frequencies(df, text)
-    pairs = doc_freq.agg(F.sum("df")).scalar()
-    hot = F.broadcast(
-        doc_freq.filter(
-            (F.length("term") <= HOT_TERM_CHARS) & (F.col("df") > pairs / HOT_TERMS)
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
+        weighted = tf.join(F.broadcast(doc_freq), "term")
+    else:
+        hot = F.broadcast(
+            doc_freq.filter(
+                (F.octet_length("term") <= HOT_TERM_BYTES)
+                & (F.col("df") > F.lit(size["pairs"] / HOT_TERMS))
+            )
         )
-    )
-    weighted = tf.join(hot, "term").unionByName(
-        tf.join(hot, "term", "left_anti").join(doc_freq, "term")
-    )
-    n_docs = df.agg(F.count("*")).scalar()
+        weighted = tf.join(hot, "term").unionByName(
+            tf.join(hot, "term", "left_anti").join(doc_freq.hint("merge"), "term")
+        )
+    n_docs = F.lit(df.count())
     return (
         weighted.withColumn("idf", idf_weight(n_docs, F.col("df"), min_doc_freq))
         .withColumn("tf_idf", F.col("tf") * F.col("idf"))

@@ -7,7 +7,7 @@ from .lines import (
     read_training_rows,
     write_lines,
 )
-from .records import load_model, read_records, save_model, write_records
+from .records import load_model, read_records, save_model, spread, write_records
 
 __all__ = [
     "load_model",
@@ -17,6 +17,7 @@ __all__ = [
     "read_records",
     "read_training_rows",
     "save_model",
+    "spread",
     "write_lines",
     "write_records",
 ]

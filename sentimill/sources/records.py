@@ -20,6 +20,16 @@ def read_records(
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part when ``df``, a plain file scan, has fewer splits than that.
+
+    For work that is heavy per row on a few unsplittable files. A scan with
+    enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Save a fitted pipeline, replacing an earlier one (K4)."""
     model.write().overwrite().save(path)

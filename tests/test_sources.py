@@ -113,3 +113,10 @@ def test_shared_path_follows_the_session(spark):
     assert path != shared_path(spark, "thing")
     if before:
         assert path.startswith(before)
+
+
+def test_spread_only_shuffles_few_splits(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert sm.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
+    many = spark.range(0, 10, 1, cores)
+    assert sm.spread(many) is many

@@ -54,18 +54,24 @@ def test_frequencies(docs):
     assert dict(sm.document_frequencies(docs).collect()) == {r[1]: r[3] for r in want}
 
 
-@pytest.mark.parametrize("hot_terms", [1, 3, 4096])
 @pytest.mark.parametrize("min_doc_freq", [1, 2])
-def test_tf_idf(docs, monkeypatch, hot_terms, min_doc_freq):
+def test_tf_idf(docs, min_doc_freq):
+    got = sm.tf_idf(docs, "doc_id", min_doc_freq=min_doc_freq)
+    assert rounded(got) == brute_force(TEXTS, min_doc_freq)
+
+
+@pytest.mark.parametrize("hot_terms, hot_bytes", [(1, 1024), (3, 1024), (4096, 1024), (4096, 0)])
+def test_tf_idf_with_a_large_vocabulary(docs, monkeypatch, hot_terms, hot_bytes):
+    monkeypatch.setattr(text_stats, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(text_stats, "HOT_TERMS", hot_terms)
-    assert rounded(sm.tf_idf(docs, "doc_id", min_doc_freq=min_doc_freq)) == brute_force(
-        TEXTS, min_doc_freq
-    )
+    monkeypatch.setattr(text_stats, "HOT_TERM_BYTES", hot_bytes)
+    got = sm.tf_idf(docs, "doc_id", min_doc_freq=1)
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert rounded(got) == brute_force(TEXTS, 1)
 
 
-def test_long_frequent_terms_stay_out_of_the_broadcast(docs, monkeypatch):
-    monkeypatch.setattr(text_stats, "HOT_TERM_CHARS", 0)
-    assert rounded(sm.tf_idf(docs, "doc_id", min_doc_freq=1)) == brute_force(TEXTS, 1)
+def test_tf_idf_of_nothing(docs):
+    assert sm.tf_idf(docs.filter("doc_id < 0"), "doc_id").count() == 0
 
 
 @settings(max_examples=6, deadline=None)
