@@ -35,7 +35,7 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 
 def _one_line() -> Column:
-    return F.translate("text", "\n", " ")
+    return F.replace("text", F.lit("\n"), F.lit(" "))
 
 
 def _review_date_text() -> Column:
@@ -91,6 +91,14 @@ def ingest_quoted_lines(spark, sf_dir) -> DataFrame:
     return sm.ingest(_quoted_lines(spark, sf_dir)).select(sm.basic_line().alias("line"))
 
 
+def ingested_files(spark, sf_dir) -> DataFrame:
+    """S1, K1, B1 from file to file."""
+    raw, target = shared_path(spark, "raw"), shared_path(spark, "ingested")
+    sm.write_lines(_quoted_lines(spark, sf_dir), raw)
+    sm.run_ingest(spark, raw, target)
+    return sm.read_lines(spark, target).select(F.col("value").alias("line"))
+
+
 def legacy_features(spark, sf_dir) -> DataFrame:
     """B2b with P7b, P7c, J1: raw lines to feature rows."""
     return sm.build_features_legacy(sm.ingest(_quoted_lines(spark, sf_dir)), sm.default_releases(spark))
@@ -124,6 +132,14 @@ def release_years(spark, sf_dir) -> DataFrame:
     )
 
 
+def release_file(spark, sf_dir) -> DataFrame:
+    """S3: the order dates written as ``M/d/yyyy`` lines and read as a calendar."""
+    path = shared_path(spark, "calendar")
+    days = _table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "M/d/yyyy"))
+    sm.write_lines(days, path)
+    return sm.read_releases(spark, path).groupBy("release").agg(F.count("*").alias("n_lines"))
+
+
 def after_release_events(spark, sf_dir) -> DataFrame:
     """J1 over events."""
     events = _table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("date"))
@@ -191,6 +207,13 @@ def written_features(spark, sf_dir) -> DataFrame:
     return sm.read_records(spark, path, sm.schemas.FEATURES)
 
 
+def header_csv(spark, sf_dir) -> DataFrame:
+    """Feature rows as CSV with a header, the types inferred."""
+    path = shared_path(spark, "header-csv")
+    build_features(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
+    return sm.read_header_csv(spark, path, escape='"')
+
+
 def training_rows(spark, sf_dir) -> DataFrame:
     """P9, S4."""
     return sm.parse_training_lines(feature_lines(spark, sf_dir), line="line")
@@ -239,6 +262,23 @@ def train_and_score(spark, sf_dir) -> DataFrame:
     )
 
 
+def train_default_variant(spark, sf_dir) -> DataFrame:
+    """As ``train_and_score`` with Spark's default parameters, nothing saved."""
+    rows = _training_rows(spark, sf_dir)
+    scored = sm.score(sm.train(rows, **sm.DEFAULT_PARAMS), rows)
+    return scored.groupBy("label", "prediction", "message").agg(F.count("*").alias("n_reviews"))
+
+
+def jobs_over_files(spark, sf_dir) -> DataFrame:
+    """B2, B3, B4 with S2, K2, S4, K4, K5: review lines to features to a model to answers."""
+    lines, features, model = (shared_path(spark, p) for p in ("reviews", "features", "model"))
+    sm.write_lines(_rated_lines(spark, sf_dir), lines)
+    sm.run_features(spark, lines, features)
+    sm.run_train(spark, features, model)
+    reviews = _documents(spark, sf_dir).withColumnRenamed("text", "review")
+    return sm.run_score(model, reviews).select("doc_id", "prediction", "message")
+
+
 def score_reviews(spark, sf_dir) -> DataFrame:
     """Every document scored."""
     model = sm.train(_training_rows(spark, sf_dir))
@@ -288,11 +328,13 @@ def stream_against_batch(spark, sf_dir) -> DataFrame:
 
 _QUERIES = [
     ingest_quoted_lines,
+    ingested_files,
     legacy_features,
     parse_review_fields,
     blank_reviews_removed,
     review_dates,
     release_years,
+    release_file,
     after_release_events,
     after_release_orders,
     after_release_shipments,
@@ -302,6 +344,7 @@ _QUERIES = [
     feature_lines,
     written_feature_lines,
     written_features,
+    header_csv,
     training_rows,
     token_counts,
     term_frequencies,
@@ -310,6 +353,8 @@ _QUERIES = [
     hashed_tf,
     idf_hashed,
     train_and_score,
+    train_default_variant,
+    jobs_over_files,
     score_reviews,
     score_messages,
     stream_score,
@@ -459,11 +504,13 @@ def oracle_sql() -> dict[str, str]:
     every_rating = "doc_id % 5 + 1"
     blanks = f"CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(9) || ',' ELSE '' END || {_BODY}"
     feature_lines_sql = f"WITH {_FEATURES} SELECT {_FEATURE_LINE} AS line FROM features"
+    ingest_sql = f"""
+WITH {_QUOTED}
+SELECT text || ',' || "date" || ',' || sentiment AS line FROM basic"""
     features_sql = f"WITH {_FEATURES} SELECT * FROM features"
     return {
-        "ingest_quoted_lines": f"""
-WITH {_QUOTED}
-SELECT text || ',' || "date" || ',' || sentiment AS line FROM basic""",
+        "ingest_quoted_lines": ingest_sql,
+        "ingested_files": ingest_sql,
         "legacy_features": f"""
 WITH {_CAL}, {_QUOTED},
 dated AS (SELECT *, strptime("date", '%d/%m/%Y %H:%M:%S') AS stamp FROM basic)
@@ -481,6 +528,8 @@ FROM texts""",
 SELECT CAST(year(release) AS INTEGER) AS year, count(*) AS n_releases,
        string_agg(CAST(release AS VARCHAR), ' ' ORDER BY release) AS releases
 FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS release FROM orders) GROUP BY 1""",
+        "release_file": """
+SELECT CAST(o_orderdate AS DATE) AS release, count(*) AS n_lines FROM orders GROUP BY 1""",
         "after_release_events": f"""
 WITH cal(release) AS (VALUES {_values(MONTHLY_2024)}),
 days AS (SELECT event_id, CAST(ts AS DATE) AS "date" FROM events)
@@ -504,6 +553,8 @@ SELECT event_id, CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE 0 END
 FROM events""",
         "build_features": features_sql,
         "written_features": features_sql,
+        "header_csv": f"""
+WITH {_FEATURES} SELECT text, "afterRelease", CAST(version AS DOUBLE) AS version, label FROM features""",
         "feature_lines": feature_lines_sql,
         "written_feature_lines": feature_lines_sql,
         "training_rows": f"""

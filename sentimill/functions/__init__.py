@@ -1,6 +1,12 @@
 """Scalar building blocks, all plain column expressions."""
 
-from .dates import capitalised, raw_review_date, raw_review_hour, review_date
+from .dates import (
+    capitalised,
+    raw_review_date,
+    raw_review_hour,
+    release_date,
+    review_date,
+)
 from .text import (
     equals_ignore_case,
     leading_fields,
@@ -19,6 +25,7 @@ __all__ = [
     "parse_int",
     "raw_review_date",
     "raw_review_hour",
+    "release_date",
     "review_date",
     "trim_controls",
 ]

@@ -14,20 +14,36 @@ def capitalised(value) -> Column:
     return F.concat(F.upper(F.substring(value, 1, 1)), F.substr(value, F.lit(2)))
 
 
-def review_date(value) -> Column:
-    """``Mar 13 2016`` (first letter in either case) as a date.
+def _calendar_date(year: Column, month: Column, day: Column) -> Column:
+    """A date from digits; a day past the end of its month means the month's last day.
 
-    The day has two digits, 01 to 31; a day past the end of its month means the
-    last day of that month. Fixed positions make this a few substring calls
-    instead of a formatter run per row.
+    Null for a day over 31, a month over 12 and for zeros. Works on numbers, which
+    is cheaper than a formatter run per row.
     """
+    year, month, day = (part.try_cast("int") for part in (year, month, day))
+    start = F.make_date(year, month, F.lit(1))
+    clamped = F.least(F.date_add(start, day - 1), F.last_day(start))
+    return F.when((year >= 1) & month.between(1, 12) & day.between(1, 31), clamped)
+
+
+def review_date(value) -> Column:
+    """``Mar 13 2016`` (first letter in either case, two-digit day) as a date."""
     text = capitalised(value)
-    shape = rf"^(?:{MONTHS.replace(' ', '|')}) (?:0[1-9]|[12][0-9]|3[01]) (?!0000)[0-9]{{4}}\z"
-    month = F.floor((F.position(F.substring(text, 1, 3), F.lit(MONTHS)) + 3) / 4)
-    day = F.substring(text, 5, 2).try_cast("int")
-    month_start = F.make_date(F.substring(text, 8, 4).try_cast("int"), month.cast("int"), F.lit(1))
-    clamped = F.least(F.date_add(month_start, day - 1), F.last_day(month_start))
-    return F.when(text.rlike(shape), clamped)
+    shape = rf"^(?:{MONTHS.replace(' ', '|')}) [0-9]{{2}} [0-9]{{4}}\z"
+    month = (F.position(F.substring(text, 1, 3), F.lit(MONTHS)) + 3) / 4
+    date = _calendar_date(F.substring(text, 8, 4), F.floor(month), F.substring(text, 5, 2))
+    return F.when(text.rlike(shape), date)
+
+
+def _part(value: Column, separator: str, n: int) -> Column:
+    return F.split_part(value, F.lit(separator), F.lit(n))
+
+
+def release_date(value) -> Column:
+    """``3/13/2008`` (month, day, year) as a date."""
+    value = _col(value)
+    date = _calendar_date(*(_part(value, "/", n) for n in (3, 1, 2)))
+    return F.when(value.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"), date)
 
 
 # Day and time of the raw review layout, e.g. ``25/8/2016 08:49:14``.
@@ -35,15 +51,15 @@ _RAW_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} (?:[01][0-9]|2[0-3]):[0-5][0-9]:[
 
 
 def raw_review_date(value) -> Column:
-    """Date part of ``d/M/yyyy HH:mm:ss``."""
+    """Date part of ``25/8/2016 08:49:14`` (day, month, year)."""
     value = _col(value)
-    return F.when(
-        value.rlike(_RAW_SHAPE), F.try_to_date(F.substring_index(value, " ", 1), "d/M/yyyy")
-    )
+    day = _part(value, " ", 1)
+    date = _calendar_date(*(_part(day, "/", n) for n in (3, 2, 1)))
+    return F.when(value.rlike(_RAW_SHAPE), date)
 
 
 def raw_review_hour(value) -> Column:
-    """Hour of day of ``d/M/yyyy HH:mm:ss``, independent of any time zone."""
+    """Hour of day of ``25/8/2016 08:49:14``, independent of any time zone."""
     value = _col(value)
-    hour = F.substring(F.substring_index(value, " ", -1), 1, 2)
-    return F.when(value.rlike(_RAW_SHAPE), hour.try_cast("int"))
+    hour = F.substring(_part(value, " ", 2), 1, 2).try_cast("int")
+    return F.when(value.rlike(_RAW_SHAPE), hour)

@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.dates import release_date
 from ..functions.policy import check_policy, checked, settle
 
 # The default release calendar, month/day/year.
@@ -39,12 +40,8 @@ def read_releases(spark: SparkSession, path: str, on_error: str = "fail") -> Dat
     """Calendar from text files with one ``M/d/yyyy`` date per line; blank lines are skipped (S3)."""
     check_policy(on_error)
     text = F.trim("value")
-    parsed = F.try_to_date(text, "M/d/yyyy")
-    releases = (
-        spark.read.text(path)
-        .filter(text != "")
-        .select(checked(parsed, "not a M/d/yyyy release date", text, on_error).alias("release"))
-    )
+    parsed = checked(release_date(text), "not a M/d/yyyy release date", text, on_error)
+    releases = spark.read.text(path).filter(text != "").select(parsed.alias("release"))
     return settle(releases, ["release"], on_error)
 
 
@@ -104,11 +101,13 @@ def with_after_release(
     skew does not matter.
     """
     check_policy(on_error)
-    keyed = df.withColumn("_day", F.col(day) if isinstance(day, str) else day)
-    days = F.broadcast(release_days(releases).withColumnRenamed("day", "_day"))
-    joined = keyed.join(days, "_day", "left")
+    day = F.col(day) if isinstance(day, str) else day
+    keyed = df.withColumn("_day", day.cast("date"))
+    days = F.broadcast(
+        release_days(releases).select(F.col("day").alias("_day"), F.col("in_window").alias("_in"))
+    )
     flag = checked(
-        F.col("in_window"), "no releases known for the year of", F.col("_day").cast("string"), on_error
+        F.col("_in"), "no releases known for the year of", F.col("_day").cast("string"), on_error
     )
-    flagged = joined.select(*[F.col(f"`{c}`") for c in df.columns], flag.alias(name))
+    flagged = keyed.join(days, "_day", "left").withColumn(name, flag).drop("_day", "_in")
     return settle(flagged, [name], on_error)

@@ -92,12 +92,12 @@ def read_training_rows(
 
 
 def read_header_csv(
-    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None
+    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, **options
 ) -> DataFrame:
     """CSV with a header line, UTF-8 (S5). Without ``schema`` the types are inferred,
-    which costs one more scan of the files.
+    which costs one more scan of the files. ``options`` go to Spark's reader.
     """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    reader = spark.read.options(**options).option("header", True).option("encoding", "UTF-8")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 

@@ -28,7 +28,7 @@ def connect(sf_dir):
 def compare(spark_df, db, sql):
     """None when equal, otherwise what differs. Rows are compared as a multiset."""
     got = spark_df.toArrow()
-    want = db.execute(sql).to_arrow_table()
+    want = db.sql(sql).to_arrow_table()
     names = sorted(got.column_names)
     if names != sorted(want.column_names):
         return f"columns {got.column_names} against {want.column_names}"

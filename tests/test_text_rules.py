@@ -8,6 +8,7 @@ from sentimill import (
     parse_int,
     raw_review_date,
     raw_review_hour,
+    release_date,
     review_date,
     trim_controls,
 )
@@ -118,12 +119,18 @@ def test_every_month(spark):
 
 
 def test_raw_review_time(spark):
-    values = ["25/8/2016 08:49:14", "1/12/2016 22:00:00", "30/2/2016 10:00:00", "1/1/2016 24:00:00", "x"]
+    values = ["25/8/2016 08:49:14", "1/12/2016 22:00:00", "30/2/2016 10:00:00", "1/1/2016 24:00:00", "x"]
     days = evaluate(spark, values, lambda v: raw_review_date(v).cast("string"))
-    assert days == ["2016-08-25", "2016-12-01", None, None, None]
+    assert days == ["2016-08-25", "2016-12-01", "2016-02-29", None, None]
     assert evaluate(spark, values, raw_review_hour)[:2] == [8, 22]
 
 
+def test_release_date(spark):
+    values = ["3/13/2008", "03/01/2009", "2/30/2015", "13/1/2008", "0/1/2008", "1/32/2008", "1/1/08", ""]
+    got = evaluate(spark, values, lambda v: release_date(v).cast("string"))
+    assert got == ["2008-03-13", "2009-03-01", "2015-02-28", None, None, None, None, None]
+
+
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_results_do_not_depend_on_ansi_mode(spark, ansi):
     spark.conf.set("spark.sql.ansi.enabled", ansi)
