@@ -21,13 +21,16 @@ def read_records(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part when ``df``, a plain file scan, has fewer splits than that.
+    """Give every core a part when ``df``, a plain file scan, has too few splits for that.
 
-    For work that is heavy per row on a few unsplittable files. A scan with
-    enough splits is returned as it is, without a shuffle.
+    For work that is heavy per row on small or unsplittable files. Fewer than two
+    splits a core count as too few: the rows may all sit in one of them, as those
+    of a columnar file with a single row group do. A core then shuffles two
+    splits at most; a scan of more splits is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    few = cores > 1 and df.rdd.getNumPartitions() < 2 * cores
+    return df.repartition(cores) if few else df
 
 
 def save_model(model: PipelineModel, path: str) -> None:

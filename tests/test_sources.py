@@ -117,6 +117,6 @@ def test_shared_path_follows_the_session(spark):
 
 def test_spread_only_shuffles_few_splits(spark):
     cores = spark.sparkContext.defaultParallelism
-    assert sm.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
-    many = spark.range(0, 10, 1, cores)
+    assert sm.spread(spark.range(0, 10, 1, cores)).rdd.getNumPartitions() == cores
+    many = spark.range(0, 10, 1, 2 * cores)
     assert sm.spread(many) is many
