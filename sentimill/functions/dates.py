@@ -17,28 +17,30 @@ def capitalised(value) -> Column:
 def _calendar_date(year: Column, month: Column, day: Column) -> Column:
     """A date from digits; a day past the end of its month means the month's last day.
 
-    Null for a day over 31, a month over 12 and for zeros. Works on numbers, which
-    is cheaper than a formatter run per row.
+    Null for a missing part, the year 0000, a month over 12, a day over 31 and for
+    zeros. A cast from year-month-day text is much cheaper than a formatter run.
     """
-    year, month, day = (part.try_cast("int") for part in (year, month, day))
-    start = F.make_date(year, month, F.lit(1))
-    clamped = F.least(F.date_add(start, day - 1), F.last_day(start))
-    return F.when((year >= 1) & month.between(1, 12) & day.between(1, 31), clamped)
-
-
-def review_date(value) -> Column:
-    """``Mar 13 2016`` (first letter in either case, two-digit day) as a date."""
-    text = capitalised(value)
-    shape = rf"^(?:{MONTHS.replace(' ', '|')}) [0-9]{{2}} [0-9]{{4}}\z"
-    month = (F.position(F.substring(text, 1, 3), F.lit(MONTHS)) + 3) / 4
-    date = _calendar_date(F.substring(text, 8, 4), F.floor(month), F.substring(text, 5, 2))
-    return F.when(text.rlike(shape), date)
+    month_text = F.concat(year, F.lit("-"), month, F.lit("-"))
+    date = F.concat(month_text, day).try_cast("date")
+    last = F.last_day(F.concat(month_text, F.lit("1")).try_cast("date"))
+    return F.when(year != "0000", F.coalesce(date, F.when(day.isin("29", "30", "31"), last)))
 
 
 def _part(value: Column, separator: str, n: int) -> Column:
     return F.split_part(value, F.lit(separator), F.lit(n))
 
 
+def review_date(value) -> Column:
+    """``Mar 13 2016`` (first letter in either case, two-digit day) as a date."""
+    value = _col(value)
+    numbers = F.create_map(
+        *[F.lit(x) for n, name in enumerate(MONTHS.split(), 1) for x in (name, str(n))]
+    )
+    month = F.try_element_at(numbers, capitalised(F.substring(value, 1, 3)))
+    date = _calendar_date(F.substring(value, 8, 4), month, F.substring(value, 5, 2))
+    return F.when(value.rlike(r"^.{3} [0-9]{2} [0-9]{4}\z"), date)
+
+
 def release_date(value) -> Column:
     """``3/13/2008`` (month, day, year) as a date."""
     value = _col(value)
@@ -53,7 +55,7 @@ _RAW_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} (?:[01][0-9]|2[0-3]):[0-5][0-9]:[
 def raw_review_date(value) -> Column:
     """Date part of ``25/8/2016 08:49:14`` (day, month, year)."""
     value = _col(value)
-    day = _part(value, " ", 1)
+    day = F.substring_index(value, " ", 1)
     date = _calendar_date(*(_part(day, "/", n) for n in (3, 2, 1)))
     return F.when(value.rlike(_RAW_SHAPE), date)
 
@@ -61,5 +63,5 @@ def raw_review_date(value) -> Column:
 def raw_review_hour(value) -> Column:
     """Hour of day of ``25/8/2016 08:49:14``, independent of any time zone."""
     value = _col(value)
-    hour = F.substring(_part(value, " ", 2), 1, 2).try_cast("int")
+    hour = F.substring(F.substring_index(value, " ", -1), 1, 2).try_cast("int")
     return F.when(value.rlike(_RAW_SHAPE), hour)

@@ -5,6 +5,9 @@ yields null for a malformed value and passes it through ``checked``; operators
 then call ``settle`` once so that no null stays behind.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 POLICIES = ("fail", "drop")
@@ -23,6 +26,19 @@ def checked(value: Column, what: str, source: Column, on_error: str) -> Column:
     return F.coalesce(value, F.raise_error(message))
 
 
+def computed_once(df: DataFrame, keep: Column | None = None) -> DataFrame:
+    """The rows of ``df``, or those where ``keep`` is true, computed at this point.
+
+    A filter over parsed columns would be pushed below the parsing, which then
+    runs twice, once for the filter and once for the rows that pass it. Filters
+    do not move below an ``inline``.
+    """
+    row = F.array(F.struct("*"))
+    return df.select(F.inline(row if keep is None else F.when(keep, row)))
+
+
 def settle(df: DataFrame, columns: list[str], on_error: str) -> DataFrame:
     """Under ``drop``, remove the rows in which one of ``columns`` is null."""
-    return df.dropna(subset=columns) if on_error == "drop" else df
+    if on_error == "fail":
+        return df
+    return computed_once(df, reduce(and_, [F.col(c).isNotNull() for c in columns]))

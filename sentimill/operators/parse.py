@@ -2,16 +2,17 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.policy import check_policy, checked, settle
+from ..functions.policy import check_policy, checked, computed_once, settle
 from ..functions.text import equals_ignore_case, leading_fields, parse_double, trim_controls
 
 
 def _fields(lines: DataFrame, separator: str, n: int, line: str, on_error: str) -> DataFrame:
-    """``lines`` with the first ``n`` fields of each line in column ``_f``."""
+    """The first ``n`` fields of each line as column ``_f``; null where a line to drop has fewer."""
     check_policy(on_error)
     found = leading_fields(line, separator, n)
-    fields = checked(found, f"line has fewer than {n} fields", F.col(line), on_error)
-    return settle(lines.withColumn("_f", fields), ["_f"], on_error)
+    return lines.select(
+        checked(found, f"line has fewer than {n} fields", F.col(line), on_error).alias("_f")
+    )
 
 
 def parse_quoted_lines(lines: DataFrame, line: str = "value", on_error: str = "fail") -> DataFrame:
@@ -21,9 +22,10 @@ def parse_quoted_lines(lines: DataFrame, line: str = "value", on_error: str = "f
     outermost quotes of a line stay with the first and last field.
     """
     f = F.col("_f")
-    return _fields(lines, '","', 4, line, on_error).select(
+    records = _fields(lines, '","', 4, line, on_error).select(
         f[2].alias("text"), f[1].alias("date"), f[3].alias("sentiment")
     )
+    return settle(records, ["text"], on_error)
 
 
 def parse_review_lines(lines: DataFrame, line: str = "value", on_error: str = "fail") -> DataFrame:
@@ -32,12 +34,13 @@ def parse_review_lines(lines: DataFrame, line: str = "value", on_error: str = "f
     Every field is trimmed. The body ends at its first comma.
     """
     f = F.col("_f")
-    return _fields(lines, ",", 4, line, on_error).select(
+    reviews = _fields(lines, ",", 4, line, on_error).select(
         trim_controls(f[0]).alias("date"),
         trim_controls(f[3]).alias("body"),
         trim_controls(f[2]).alias("rating"),
         trim_controls(f[1]).alias("version"),
     )
+    return computed_once(reviews, F.col("body").isNotNull() if on_error == "drop" else None)
 
 
 def with_body(reviews: DataFrame) -> DataFrame:
@@ -60,4 +63,4 @@ def parse_training_lines(
         f[2].alias("version"),
         label.alias("label"),
     )
-    return settle(rows, ["label"], on_error)
+    return settle(rows, ["review", "label"], on_error)
