@@ -4,7 +4,6 @@ from datetime import date, timedelta
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from sentimill import (
     build_features,
