@@ -17,6 +17,15 @@ from sentimill.functions import raw_review_hour, review_date
 from sentimill.operators.releases import DEFAULT_RELEASES
 from sentimill.session import shared_path
 
+try:
+    import corpus_pipeline
+    from sentimill.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    # Both may be left out of an installation; anything else that is missing is an error.
+    if missing.name not in ("corpus_pipeline", "sentimill.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 # ---------------------------------------------------------------- input frames
 
 
@@ -376,7 +385,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    found = {q.__name__: q for q in _QUERIES}
+    if llm_queries:
+        found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 # ------------------------------------------------------------------------- SQL
@@ -516,7 +528,11 @@ def oracle_sql() -> dict[str, str]:
 WITH {_QUOTED}
 SELECT text || ',' || "date" || ',' || sentiment AS line FROM basic"""
     features_sql = f"WITH {_FEATURES} SELECT * FROM features"
-    return {
+    more = {}
+    if llm_queries:
+        more = llm_queries.oracle_sql()
+        more |= {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return more | {
         "ingest_quoted_lines": ingest_sql,
         "ingested_files": ingest_sql,
         "legacy_features": f"""
