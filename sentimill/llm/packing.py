@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import VOCABULARY, encoder
 from .common import whole_text, written
-from .ranks import chunk_count, running_totals
+from .ranks import chunk_count, hash_chunk, running_totals
 
 MAX_LENGTH = 1024
 
@@ -116,15 +116,10 @@ def pack_pieces(pieces: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     places = spark.createDataFrame(
         slots, "_length long, _first long, _count long, _sequence long, _offset long"
     )
-    keyed = pieces.withColumn("_order", F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"))
-    ranked = running_totals(
-        keyed,
-        ["length"],
-        "_order",
-        ["doc_id", "start", "ids_crc32", "doc_tokens"],
-        F.lit(1),
-        chunk_count(sum(histogram.values())),
-    )
+    row = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    keyed = pieces.withColumn("_order", F.xxhash64(*row))
+    chunk = hash_chunk("_order", chunk_count(sum(histogram.values())))
+    ranked = running_totals(keyed, ["length"], chunk, ["_order", *row], F.lit(1))
     nth = F.col("before") - F.col("_first")
     at = (F.col("length") == F.col("_length")) & (nth >= 0) & (nth < F.col("_count"))
     return ranked.join(F.broadcast(places), at).select(

@@ -2,18 +2,41 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .chat import conversation_digests, format_turns
+from .common import table, written
+from .mixing import mix_sources
 from .packing import pack_documents
 
 
+# Conversation -7: both turns hold the strings that the template uses itself.
+_CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and number -7, formatted, written, read back and digested."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", _CONTROL_TEXT), (-7, 1, "assistant", _CONTROL_TEXT)], turns.schema
+    )
+    return conversation_digests(written(format_turns(turns.unionByName(extra)), "formatted"))
+
+
 def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op8_shortest_pack_first]
+def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, its source's target and the words that the mix takes of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mix_sources(docs.select("doc_id", "text", "source"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
+
+
+_QUERIES = [op7_prefix_target_chat, op8_shortest_pack_first, op10_weighted_fair_queueing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
