@@ -8,6 +8,7 @@ from .chat import conversation_digests, format_turns
 from .common import table, written
 from .mixing import mix_sources
 from .packing import pack_documents
+from .syncmers import fingerprint_documents
 
 
 # Conversation -7: both turns hold the strings that the template uses itself.
@@ -28,6 +29,11 @@ def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, its source's target and the words that the mix takes of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -36,7 +42,7 @@ def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
 
 
-_QUERIES = [op7_prefix_target_chat, op8_shortest_pack_first, op10_weighted_fair_queueing]
+_QUERIES = [op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
