@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat import conversation_digests, format_turns
 from .common import table, written
 from .mixing import mix_sources
+from .near_documents import near_duplicates
 from .packing import pack_documents
 from .syncmers import fingerprint_documents
 
 
+def op6_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its near duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 # Conversation -7: both turns hold the strings that the template uses itself.
 _CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
@@ -42,7 +48,7 @@ def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
 
 
-_QUERIES = [op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
+_QUERIES = [op6_hyperminhash_near_dedup, op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
