@@ -15,8 +15,7 @@ driver sees sums of at most ``BINS`` bins and the totals of the water filling.
 Results for odd input: a null text has size 0, and documents of size 0 are never
 taken; null is a source of its own, the last; repeated rows are documents of their
 own; an empty table gives no rows; null or repeated ``doc_id`` are allowed; columns of
-any name pass through in ``doc``. Ties of finish times are broken by the shuffle, then
-by ``doc_id``. The document at the cut is taken if at least half of it fits.
+any name pass through in ``doc``. Ties of finish times are broken by the shuffle. The document at the cut is taken if at least half of it fits.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -69,14 +68,18 @@ def mix_sources(
     share: float = SHARE,
     max_repeats: int = MAX_REPEATS,
     seed: int = 0,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """``doc, size, source_size, target, copies`` for every row of ``docs`` (``doc_id, text, source``).
 
-    ``doc`` is the row as it came, ``copies`` how often the mix takes it.
+    ``doc`` is the row as it came, or its columns ``carry``, which are shuffled and
+    written with it; ``copies`` is how often the mix takes it.
     """
     queued = written(
         docs.select(
-            F.struct("*").alias("doc"),
+            F.struct(*(carry or ["*"])).alias("doc"),
+            "doc_id",
+            "source",
             F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key"),
             word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("_order"),
@@ -84,18 +87,18 @@ def mix_sources(
         "sized",
     )
     sources = queued.groupBy("_key").agg(
-        F.first("doc.source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n")
+        F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n")
     )
     sources = written(sources, "sources")
     n_rows, total = sources.agg(F.sum("n"), F.sum("source_size")).first()
     targets = source_targets(sources, weights, share, max_repeats)
-    chunk, order = hash_chunk("_order", chunk_count(n_rows or 0)), ["_order", "doc.doc_id", "size"]
+    chunk, order = hash_chunk("_order", chunk_count(n_rows or 0)), ["_order", "doc_id", "size"]
     drawn = written(running_totals(queued, ["_key"], chunk, order, F.col("size"), targets), "drawn")
 
     uses = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))
     taken = (
         drawn.filter("size > 0 and target > 0")
-        .select("size", "_order", F.col("doc.doc_id").alias("doc_id"), "source_size", "target", "through", uses.alias("_use"))
+        .select("size", "_order", "source_size", "target", "through", uses.alias("_use"))
         .withColumn("_finish", _finish(F.col("_use")))
     )
     cut = _cut(taken, share * (total or 0))

@@ -42,8 +42,7 @@ def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, its source's target and the words that the mix takes of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mix_sources(docs.select("doc_id", "text", "source"))
+    mixed = mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
 

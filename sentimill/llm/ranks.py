@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import written
 
 # Rows of a chunk, on average. The number of chunks follows the number of rows.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 5_000
 
 
 def chunk_count(n_rows: int, chunk_rows: int = CHUNK_ROWS) -> int:
