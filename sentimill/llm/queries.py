@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import conversation_digests, format_turns
 from .common import table, written
+from .fuzzy_lines import repeated_lines
 from .mixing import mix_sources
 from .near_documents import near_duplicates
 from .packing import pack_documents
+from .suffix_tree import score_documents
 from .syncmers import fingerprint_documents
 
 
+def op3_probabilistic_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a tree of six sevenths of them."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, and where its component stands for the first time."""
+    return repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of its near duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,7 +59,7 @@ def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
 
 
-_QUERIES = [op6_hyperminhash_near_dedup, op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
+_QUERIES = [op3_probabilistic_suffix_tree, op5_minhash_fuzzy_lines, op6_hyperminhash_near_dedup, op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
