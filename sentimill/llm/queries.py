@@ -7,11 +7,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat import conversation_digests, format_turns
 from .common import table, written
 from .fuzzy_lines import repeated_lines
+from .languages import identify_documents, identify_pages, trigram_counts
 from .mixing import mix_sources
 from .near_documents import near_duplicates
 from .packing import pack_documents
 from .suffix_tree import score_documents
 from .syncmers import fingerprint_documents
+from .token_trees import edited_counts, token_trees
+
+
+def op1_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and again after three edits: a cut, an insertion, a new beginning."""
+    trees = token_trees(table(spark, sf_dir, "documents"))
+    n = F.length("text").cast("long")
+    edit = lambda start, length, replacement: F.struct(
+        start.cast("long").alias("start"), F.lit(length).cast("long").alias("length"), replacement.alias("replacement")
+    )
+    note = F.concat(F.lit("[edit of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("]\n"))
+    edits = F.array(
+        edit(F.floor(n / 3), 20, F.lit("")), edit(F.floor(2 * n / 3), 0, note), edit(F.lit(0), 5, F.lit("New: "))
+    )
+    edited = edited_counts(trees, edits)
+    return edited.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
+def op2_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and of every page, whose trigrams are those of the documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    answers = ["language", "probability", "text_language", "n_trigrams", "declared", "host", "rejected"]
+    of_docs = identify_documents(docs, carry=["doc_id"])
+    of_pages = identify_pages(pages, trigram_counts(docs), carry=["page_id"])
+    nothing = F.lit(None).cast("long")
+    return of_docs.select("row.doc_id", nothing.alias("page_id"), *answers).unionByName(
+        of_pages.select(nothing.alias("doc_id"), "row.page_id", *answers)
+    )
 
 
 def op3_probabilistic_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +88,7 @@ def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
 
 
-_QUERIES = [op3_probabilistic_suffix_tree, op5_minhash_fuzzy_lines, op6_hyperminhash_near_dedup, op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
+_QUERIES = [op1_edit_aware_token_counts, op2_bayesian_language_id, op3_probabilistic_suffix_tree, op5_minhash_fuzzy_lines, op6_hyperminhash_near_dedup, op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
