@@ -1,11 +1,17 @@
 """Helpers that several operators share."""
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_path
 
+_HOME = str(Path(__file__).resolve().parents[2])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Python workers find this package where the driver does, if it is not installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _HOME)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,8 +29,3 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def whole_text(text: Column | str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-
-
-def row_key(*columns: str) -> Column:
-    """A hash that spreads rows evenly whatever single column is null or repeated."""
-    return F.xxhash64(*columns)
