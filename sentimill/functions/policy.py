@@ -1,13 +1,11 @@
 """What happens to a record that cannot be parsed.
 
-``fail`` ends the job with an error, ``drop`` leaves the record out. A parser
-yields null for a malformed value and passes it through ``checked``; operators
-then call ``settle`` once so that no null stays behind.
+``fail`` ends the job with an error, ``drop`` leaves the record out. A parser yields
+null for a malformed value, and ``settle`` decides about its rows. The decision is a
+condition on the row, so under ``fail`` a malformed record ends the job whichever columns
+are read, and also when rows are only counted.
 """
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 POLICIES = ("fail", "drop")
@@ -18,12 +16,16 @@ def check_policy(on_error: str) -> None:
         raise ValueError(f"on_error must be one of {POLICIES}, not {on_error!r}")
 
 
+def _error(what: str, source: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(F.substring(source, 1, 200), F.lit("null"))))
+
+
 def checked(value: Column, what: str, source: Column, on_error: str) -> Column:
-    """``value``, raising ``what`` with the source text when null under ``fail``."""
-    if on_error == "drop":
-        return value
-    message = F.concat(F.lit(f"{what}: "), F.coalesce(F.substring(source, 1, 200), F.lit("null")))
-    return F.coalesce(value, F.raise_error(message))
+    """``value``, raising ``what`` with the source text when null under ``fail``.
+
+    For single expressions: nothing is raised where nobody reads the value.
+    """
+    return value if on_error == "drop" else F.coalesce(value, _error(what, source))
 
 
 def computed_once(df: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -31,14 +33,22 @@ def computed_once(df: DataFrame, keep: Column | None = None) -> DataFrame:
 
     A filter over parsed columns would be pushed below the parsing, which then
     runs twice, once for the filter and once for the rows that pass it. Filters
-    do not move below an ``inline``.
+    do not move below an ``inline``, and an unread column does not take the condition
+    with it.
     """
     row = F.array(F.struct("*"))
     return df.select(F.inline(row if keep is None else F.when(keep, row)))
 
 
-def settle(df: DataFrame, columns: list[str], on_error: str) -> DataFrame:
-    """Under ``drop``, remove the rows in which one of ``columns`` is null."""
-    if on_error == "fail":
-        return df
-    return computed_once(df, reduce(and_, [F.col(c).isNotNull() for c in columns]))
+def settle(df: DataFrame, checks: list[tuple[str, str, str]], on_error: str) -> DataFrame:
+    """The rows in which each checked column has a value, computed at this point.
+
+    ``checks`` lists column, complaint and the column with the source text. A row
+    without a value is left out, or ends the job with the first complaint.
+    """
+    check_policy(on_error)
+    keep = F.when(F.lit(False), F.lit(True))
+    for column, what, source in checks:
+        refused = F.lit(False) if on_error == "drop" else _error(what, F.col(source).cast("string")).cast("boolean")
+        keep = keep.when(F.col(column).isNull(), refused)
+    return computed_once(df, keep.otherwise(True))

@@ -6,6 +6,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.sql import DataFrame, functions as F
 
+from .text_stats import idf_weight
+
 # Training parameters.
 PARAMS = {"num_features": 1000, "min_doc_freq": 10, "max_iter": 10, "reg_param": 0.01}
 
@@ -13,19 +15,35 @@ PARAMS = {"num_features": 1000, "min_doc_freq": 10, "max_iter": 10, "reg_param":
 DEFAULT_PARAMS = {"num_features": 1 << 18, "min_doc_freq": 10, "max_iter": 100, "reg_param": 0.0}
 
 
+# Non-zero numbers of a training partition for each feature: with fewer, adding up one
+# gradient per partition would cost more than computing it.
+WORK_PER_FEATURE = 4
+
+
 def build_pipeline(
     num_features: int = PARAMS["num_features"],
     min_doc_freq: int = PARAMS["min_doc_freq"],
     max_iter: int = PARAMS["max_iter"],
     reg_param: float = PARAMS["reg_param"],
+    aggregation_depth: int = 2,
+    max_block_size_in_mb: float = 0.0,
 ) -> Pipeline:
-    """The unfitted pipeline over columns ``review`` and ``label``."""
+    """The unfitted pipeline over columns ``review`` and ``label``.
+
+    The last two arguments are Spark's: levels of the tree that adds up gradients,
+    and size of the blocks of rows (0: Spark's choice).
+    """
     return Pipeline(
         stages=[
             Tokenizer(inputCol="review", outputCol="words"),
             HashingTF(inputCol="words", outputCol="rawFeatures", numFeatures=num_features),
             IDF(inputCol="rawFeatures", outputCol="features", minDocFreq=min_doc_freq),
-            LogisticRegression(maxIter=max_iter, regParam=reg_param),
+            LogisticRegression(
+                maxIter=max_iter,
+                regParam=reg_param,
+                aggregationDepth=aggregation_depth,
+                maxBlockSizeInMB=max_block_size_in_mb,
+            ),
         ]
     )
 
@@ -34,18 +52,21 @@ def fit(rows: DataFrame, **params) -> PipelineModel:
     """Fit the pipeline on the distributed rows (M5).
 
     The same as ``build_pipeline(**params).fit(rows)``, but the text is read and
-    tokenised once: IDF and the regression both work on the kept hashed counts,
-    at most ``num_features`` numbers a row. What does not fit in memory goes to
-    disk, and a lost executor's part is computed again from the source.
+    tokenised once: IDF and the regression both work on the hashed counts, kept on the
+    executors' disks, since the regression keeps its own blocks in memory. A lost
+    executor's part is computed again from the source. The kept rows stand in as
+    many partitions as their work is worth, never more than they came in.
     """
     tokenizer, hashing, idf, regression = build_pipeline(**params).getStages()
     text_stages = PipelineModel([tokenizer, hashing])
     hashed = text_stages.transform(rows.select("review", "label")).select(
         "rawFeatures", F.col("label").cast("double").alias("label")
     )
-    hashed.persist(StorageLevel.MEMORY_AND_DISK)
+    hashed.persist(StorageLevel.DISK_ONLY)
     try:
-        fitted = Pipeline(stages=[idf, regression]).fit(hashed)
+        work = hashed.agg(F.sum(F.size(F.unwrap_udt("rawFeatures")["indices"]))).first()[0] or 0
+        parts = max(1, int(work // (WORK_PER_FEATURE * hashing.getNumFeatures())))
+        fitted = Pipeline(stages=[idf, regression]).fit(hashed.coalesce(parts))
     finally:
         hashed.unpersist()
     return PipelineModel([tokenizer, hashing, *fitted.stages])
@@ -68,21 +89,13 @@ def hashed_idf(
     num_features: int = PARAMS["num_features"],
     min_doc_freq: int = PARAMS["min_doc_freq"],
 ) -> DataFrame:
-    """``bucket, doc_freq, idf`` of a fitted IDF (M3), one row per bucket.
+    """``bucket, doc_freq, idf`` as a fitted IDF has them (M3), one row per bucket.
 
     Both numbers are 0 for a bucket in fewer than ``min_doc_freq`` documents.
     """
-    words = Tokenizer(inputCol=text, outputCol="words").transform(df.select(text))
-    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features).transform(words)
-    model = IDF(inputCol="tf", outputCol="features", minDocFreq=min_doc_freq).fit(hashed)
-    # As many values as there are buckets: the fitted model itself.
-    weights = [float(w) for w in model.idf.toArray()]
-    counts = [int(c) for c in model.docFreq]
-    return (
-        df.sparkSession.range(num_features, numPartitions=1)
-        .select(
-            F.col("id").cast("int").alias("bucket"),
-            F.get(F.lit(counts), F.col("id").cast("int")).cast("long").alias("doc_freq"),
-            F.get(F.lit(weights), F.col("id").cast("int")).alias("idf"),
-        )
-    )
+    cells = hashed_counts(df.select(F.lit(0).alias("_doc"), text), "_doc", text, num_features)
+    frequent = cells.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= min_doc_freq)
+    buckets = df.sparkSession.range(num_features).select(F.col("id").cast("int").alias("bucket"))
+    found = F.coalesce("n", F.lit(0).cast("long"))
+    weight = idf_weight(F.lit(df.count()), found, min_doc_freq)
+    return buckets.join(frequent, "bucket", "left").select("bucket", found.alias("doc_freq"), weight.alias("idf"))

@@ -2,17 +2,14 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.policy import check_policy, checked, computed_once, settle
+from ..functions.policy import settle
 from ..functions.text import equals_ignore_case, leading_fields, parse_double, trim_controls
 
 
 def _fields(lines: DataFrame, separator: str, n: int, line: str, on_error: str) -> DataFrame:
-    """The first ``n`` fields of each line as column ``_f``; null where a line to drop has fewer."""
-    check_policy(on_error)
-    found = leading_fields(line, separator, n)
-    return lines.select(
-        checked(found, f"line has fewer than {n} fields", F.col(line), on_error).alias("_f")
-    )
+    """The first ``n`` fields of each line as column ``_f``."""
+    split = lines.select(F.col(line).alias("_line"), leading_fields(line, separator, n).alias("_f"))
+    return settle(split, [("_f", f"line has fewer than {n} fields", "_line")], on_error)
 
 
 def parse_quoted_lines(lines: DataFrame, line: str = "value", on_error: str = "fail") -> DataFrame:
@@ -22,10 +19,9 @@ def parse_quoted_lines(lines: DataFrame, line: str = "value", on_error: str = "f
     outermost quotes of a line stay with the first and last field.
     """
     f = F.col("_f")
-    records = _fields(lines, '","', 4, line, on_error).select(
+    return _fields(lines, '","', 4, line, on_error).select(
         f[2].alias("text"), f[1].alias("date"), f[3].alias("sentiment")
     )
-    return settle(records, ["text"], on_error)
 
 
 def parse_review_lines(lines: DataFrame, line: str = "value", on_error: str = "fail") -> DataFrame:
@@ -34,13 +30,12 @@ def parse_review_lines(lines: DataFrame, line: str = "value", on_error: str = "f
     Every field is trimmed. The body ends at its first comma.
     """
     f = F.col("_f")
-    reviews = _fields(lines, ",", 4, line, on_error).select(
+    return _fields(lines, ",", 4, line, on_error).select(
         trim_controls(f[0]).alias("date"),
         trim_controls(f[3]).alias("body"),
         trim_controls(f[2]).alias("rating"),
         trim_controls(f[1]).alias("version"),
     )
-    return computed_once(reviews, F.col("body").isNotNull() if on_error == "drop" else None)
 
 
 def with_body(reviews: DataFrame) -> DataFrame:
@@ -56,11 +51,11 @@ def parse_training_lines(
     Only the word ``true``, in any case, is true; all other text is false.
     """
     f = F.col("_f")
-    label = checked(parse_double(f[3]), "label is not a number", f[3], on_error)
     rows = _fields(lines, ",", 4, line, on_error).select(
         f[0].alias("review"),
         equals_ignore_case(f[1], "true").alias("afterRelease"),
         f[2].alias("version"),
-        label.alias("label"),
+        parse_double(f[3]).alias("label"),
+        f[3].alias("_label"),
     )
-    return settle(rows, ["review", "label"], on_error)
+    return settle(rows, [("label", "label is not a number", "_label")], on_error).drop("_label")

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import release_date
-from ..functions.policy import check_policy, checked, settle
+from ..functions.policy import check_policy, settle
 
 # The default release calendar, month/day/year.
 DEFAULT_RELEASES = """
@@ -40,9 +40,8 @@ def read_releases(spark: SparkSession, path: str, on_error: str = "fail") -> Dat
     """Calendar from text files with one ``M/d/yyyy`` date per line; blank lines are skipped (S3)."""
     check_policy(on_error)
     text = F.trim("value")
-    parsed = checked(release_date(text), "not a M/d/yyyy release date", text, on_error)
-    releases = spark.read.text(path).filter(text != "").select(parsed.alias("release"))
-    return settle(releases, ["release"], on_error)
+    releases = spark.read.text(path).filter(text != "").select(release_date(text).alias("release"), "value")
+    return settle(releases, [("release", "not a M/d/yyyy release date", "value")], on_error).select("release")
 
 
 def releases_by_year(releases: DataFrame) -> DataFrame:
@@ -52,14 +51,9 @@ def releases_by_year(releases: DataFrame) -> DataFrame:
     equal dates are combined before the shuffle.
     """
     year = F.year("release")
-    in_range = F.when(year.between(1, 9999), year)
+    in_range = releases.select(F.when(year.between(1, 9999), year).alias("year"), "release", year.alias("_year"))
     return (
-        releases.select(
-            checked(in_range, "release year outside 1-9999", year.cast("string"), "fail").alias(
-                "year"
-            ),
-            "release",
-        )
+        settle(in_range, [("year", "release year outside 1-9999", "_year")], "fail")
         .groupBy("year")
         .agg(F.sort_array(F.collect_set("release")).alias("releases"))
     )
@@ -106,8 +100,7 @@ def with_after_release(
     days = F.broadcast(
         release_days(releases).select(F.col("day").alias("_day"), F.col("in_window").alias("_in"))
     )
-    flag = checked(
-        F.col("_in"), "no releases known for the year of", F.col("_day").cast("string"), on_error
+    flagged = settle(
+        keyed.join(days, "_day", "left"), [("_in", "no releases known for the year of", "_day")], on_error
     )
-    flagged = keyed.join(days, "_day", "left").withColumn(name, flag).drop("_day", "_in")
-    return settle(flagged, [name], on_error)
+    return flagged.withColumn(name, F.col("_in")).drop("_day", "_in")

@@ -3,6 +3,7 @@
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.policy import settle
 from ..functions.text import _col
 
 
@@ -23,13 +24,14 @@ def sentiment_message(prediction: Column | str = "prediction") -> Column:
     return F.concat(F.lit("Sentiment is "), word)
 
 
-def score(model: PipelineModel, reviews: DataFrame) -> DataFrame:
+def score(model: PipelineModel, reviews: DataFrame, on_error: str = "fail") -> DataFrame:
     """Add ``prediction`` and ``message`` to reviews (column ``review``), any number of them.
 
     All columns of ``reviews``, such as a key or a known label, pass through as
-    they are.
+    they are. A null review ends the job with an error or, under ``drop``, is left out.
     """
-    rows = with_defaults(reviews.select("review", F.struct("*").alias("_given")))
-    return model.transform(rows).select(
+    rows = reviews.select("review", F.struct("*").alias("_given"))
+    rows = settle(rows, [("review", "review without a text", "review")], on_error)
+    return model.transform(with_defaults(rows)).select(
         "_given.*", "prediction", sentiment_message().alias("message")
     )

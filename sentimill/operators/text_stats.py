@@ -11,11 +11,9 @@ from ..session import shared_path
 # A vocabulary up to this size is broadcast whole.
 BROADCAST_BYTES = 64 << 20
 
-# Of a larger one, the terms that hold more than one in HOT_TERMS of all
-# (document, term) pairs are. Fewer than HOT_TERMS terms can be that frequent, so
-# at most HOT_TERMS * HOT_TERM_BYTES are broadcast, whatever the data.
-HOT_TERMS = 4096
-HOT_TERM_BYTES = 1024
+# In the join with a larger one, no term keeps more than one in HOT_SHARE of all (document,
+# term) pairs in one task, or one in four times the shuffle partitions if these are more.
+HOT_SHARE = 4096
 
 
 def tokens(df: DataFrame, text: str = "text", words: str = "words") -> DataFrame:
@@ -67,9 +65,15 @@ def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
     Distinct terms are taken inside the row, so the only shuffle is one of
     counts already combined per task.
     """
+    return _frequencies(df, text).filter("term is not null")
+
+
+def _frequencies(df: DataFrame, text: str) -> DataFrame:
+    """``term, df`` and, for the null term, the number of documents."""
+    terms = F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))
     return (
         tokens(df.select(text), text)
-        .select(F.explode(F.array_distinct("words")).alias("term"))
+        .select(F.explode(terms).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -80,39 +84,62 @@ def idf_weight(n_docs: Column, doc_freq: Column, min_doc_freq: int) -> Column:
     return F.when(doc_freq >= min_doc_freq, F.log((n_docs + 1) / (doc_freq + 1))).otherwise(0.0)
 
 
-def tf_idf(df: DataFrame, doc_id: str, text: str = "text", min_doc_freq: int = 10) -> DataFrame:
+def tf_idf(
+    df: DataFrame, doc_id: str, text: str = "text", min_doc_freq: int = 10, path: str | None = None
+) -> DataFrame:
     """``doc_id, term, tf, df, idf, tf_idf`` for every term of every document.
 
-    Calling it counts the documents and writes the vocabulary with its document
-    frequencies to the shared folder. A small vocabulary is broadcast. A large one
-    meets the term counts in a join by term, where the frequent terms, most of the
-    rows, would crowd on a few tasks: these alone are broadcast and never
-    shuffled, and each other term has less than one in ``HOT_TERMS`` of the rows.
+    Calling it writes the vocabulary with its document frequencies to ``path``, by
+    default a new one in the shared folder; the result reads it, so the path must stay
+    as long as the result is in use, and is the caller's to remove. A small vocabulary
+    is broadcast. A large one meets the term counts, made once, in a join by term,
+    where the rows of frequent terms are dealt to several tasks each.
     """
     spark = df.sparkSession
-    path = shared_path(spark, "document-frequencies")
-    document_frequencies(df, text).write.parquet(path)
-    doc_freq = spark.read.parquet(path)
+    path = path or shared_path(spark, "document-frequencies")
+    _frequencies(df, text).write.parquet(path)
+    written = spark.read.parquet(path)
+    doc_freq, in_all = written.filter("term is not null"), written.filter("term is null")
     size = doc_freq.agg(
         F.sum(F.octet_length("term") + 32).alias("bytes"), F.sum("df").alias("pairs")
     ).first()
+    found = in_all.first()
+    n_docs = F.lit(found["df"] if found else 0)
 
     tf = term_frequencies(df, doc_id, text)
     if (size["bytes"] or 0) <= BROADCAST_BYTES:
         weighted = tf.join(F.broadcast(doc_freq), "term")
     else:
-        hot = F.broadcast(
-            doc_freq.filter(
-                (F.octet_length("term") <= HOT_TERM_BYTES)
-                & (F.col("df") > F.lit(size["pairs"] / HOT_TERMS))
-            )
-        )
-        weighted = tf.join(hot, "term").unionByName(
-            tf.join(hot, "term", "left_anti").join(doc_freq.hint("merge"), "term")
-        )
-    n_docs = F.lit(df.count())
+        weighted = _joined_by_term(tf, doc_freq, doc_id, size["pairs"])
     return (
         weighted.withColumn("idf", idf_weight(n_docs, F.col("df"), min_doc_freq))
         .withColumn("tf_idf", F.col("tf") * F.col("idf"))
         .select(doc_id, "term", "tf", "df", "idf", "tf_idf")
     )
+
+
+def _joined_by_term(tf: DataFrame, doc_freq: DataFrame, doc_id: str, n_pairs: int) -> DataFrame:
+    """``tf`` with ``df``, by a shuffled join in which frequent terms are salted.
+
+    Which terms are frequent is told to both sides by hash, so a term of any length
+    costs the same few bytes, and fewer than the share allows can be that frequent.
+    """
+    shares = max(HOT_SHARE, 4 * int(tf.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = F.ceil(F.max("df") * F.lit(shares / n_pairs))
+    hot = F.broadcast(
+        doc_freq.filter(F.col("df") > F.lit(n_pairs / shares))
+        .groupBy(F.xxhash64("term").alias("_hash"))
+        .agg(salts.alias("_salts"))
+    )
+    dealt = (
+        tf.withColumn("_hash", F.xxhash64("term"))
+        .join(hot, "_hash", "left")
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(doc_id, "tf"), F.col("_salts")), F.lit(0)))
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0).cast("long"))))
+    repeated = (
+        doc_freq.withColumn("_hash", F.xxhash64("term"))
+        .join(hot, "_hash", "left")
+        .select("term", "df", every.alias("_salt"))
+    )
+    return dealt.join(repeated.hint("merge"), ["term", "_salt"])

@@ -1,14 +1,15 @@
 """Feature job: review lines and a release calendar to feature rows."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import raw_review_date, raw_review_hour, review_date
-from ..functions.policy import checked, settle
+from ..functions.policy import check_policy, settle
 from ..operators.labels import rating_label, sentiment_label
 from ..operators.parse import parse_review_lines, with_body
 from ..operators.releases import default_releases, with_after_release
 from ..operators.render import feature_line
-from ..sources.lines import read_object_lines, write_lines
+from ..sources.lines import read_object_lines, has_blank_lines_at_end_only, write_lines
 
 FEATURE_COLUMNS = ("text", "afterRelease", "version", "label")
 
@@ -21,14 +22,19 @@ def build_features(
     Reviews without a body leave before their date and rating are read.
     """
     reviews = with_body(parse_review_lines(lines, line, on_error))
-    date = checked(review_date("date"), "not a MMM dd yyyy date", F.col("date"), on_error)
     typed = reviews.select(
         F.col("body").alias("text"),
         "version",
-        rating_label("rating", on_error).alias("label"),
-        date.alias("date"),
+        "rating",
+        rating_label("rating", "drop").alias("label"),
+        F.col("date").alias("_date"),
+        review_date("date").alias("date"),
     )
-    flagged = with_after_release(settle(typed, ["label"], on_error), releases, on_error=on_error)
+    checks = [
+        ("label", "rating is not an integer", "rating"),
+        ("date", "not a MMM dd yyyy date", "_date"),
+    ]
+    flagged = with_after_release(settle(typed, checks, on_error), releases, on_error=on_error)
     return flagged.select(*FEATURE_COLUMNS)
 
 
@@ -40,16 +46,15 @@ def build_features_legacy(
     The label comes from the sentiment word, and ``version`` holds the hour of
     day of the review (P7c).
     """
-    raw = F.col("date")
     typed = basic.select(
         "text",
-        checked(raw_review_hour(raw), "not a d/M/yyyy HH:mm:ss date", raw, on_error)
-        .cast("string")
-        .alias("version"),
+        raw_review_hour("date").cast("string").alias("version"),
         sentiment_label("sentiment").alias("label"),
-        checked(raw_review_date(raw), "not a d/M/yyyy HH:mm:ss date", raw, on_error).alias("date"),
+        F.col("date").alias("_date"),
+        raw_review_date(F.col("date")).alias("date"),
     )
-    flagged = with_after_release(settle(typed, ["version"], on_error), releases, on_error=on_error)
+    checks = [(c, "not a d/M/yyyy HH:mm:ss date", "_date") for c in ("version", "date")]
+    flagged = with_after_release(settle(typed, checks, on_error), releases, on_error=on_error)
     return flagged.select(*FEATURE_COLUMNS)
 
 
@@ -58,12 +63,32 @@ def run_features(
     source: str,
     target: str,
     releases: DataFrame | None = None,
-    blank_lines: str = "skip",
+    blank_lines: str = "inner",
     on_error: str = "fail",
     mode: str = "errorifexists",
 ) -> None:
-    """Files to files; the only exchange is the broadcast of the calendar's days."""
-    lines = read_object_lines(spark, source, blank_lines)
+    """Files to files; the only exchange is the broadcast of the calendar's days.
+
+    With ``blank_lines="inner"`` an empty line is a malformed one unless nothing but empty
+    lines follows in its file. Files without empty lines are read once: all lines
+    count at first, and only when that fails it is looked up where empty lines stand.
+    """
+    check_policy(on_error)
     calendar = default_releases(spark) if releases is None else releases
-    features = build_features(lines, calendar, on_error=on_error)
-    write_lines(features.select(feature_line().alias("value")), target, mode)
+
+    def write(blank_lines: str, mode: str) -> None:
+        lines = read_object_lines(spark, source, blank_lines)
+        features = build_features(lines, calendar, on_error=on_error)
+        write_lines(features.select(feature_line().alias("value")), target, mode)
+
+    if blank_lines != "inner":
+        return write(blank_lines, mode)
+    try:
+        write("keep", mode)
+    except AnalysisException:  # such as a target that exists
+        raise
+    except Exception:
+        if not has_blank_lines_at_end_only(spark, source):
+            raise
+        # The failed attempt may have made the folder.
+        write("skip", "append" if mode == "append" else "overwrite")

@@ -17,7 +17,7 @@ def run_train(
     spark: SparkSession,
     source: str,
     model_path: str,
-    blank_lines: str = "skip",
+    blank_lines: str = "inner",
     on_error: str = "fail",
     **params,
 ) -> PipelineModel:

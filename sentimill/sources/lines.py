@@ -84,10 +84,16 @@ def _inner_blank_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def has_blank_lines_at_end_only(spark: SparkSession, path: str | list[str]) -> bool:
+    """Are there empty lines, and none of them before the last text of its file?"""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.filter(F.col("value") == "").isEmpty() and _inner_blank_lines(lines).isEmpty()
+
+
 def read_training_rows(
-    spark: SparkSession, path: str | list[str], blank_lines: str = "skip", on_error: str = "fail"
+    spark: SparkSession, path: str | list[str], blank_lines: str = "inner", on_error: str = "fail"
 ) -> DataFrame:
-    """Training rows from feature lines."""
+    """Training rows from feature lines (S4). Empty lines as in ``read_object_lines``."""
     return parse_training_lines(read_object_lines(spark, path, blank_lines), on_error=on_error)
 
 

@@ -14,16 +14,18 @@ def score_stream(
     checkpoint: str,
     file_format: str = "parquet",
     trigger: dict | None = None,
+    on_error: str = "fail",
 ) -> StreamingQuery:
     """Score a streaming frame (column ``review``) into files and return the running query.
 
     Stateless, so append mode needs no watermark. The checkpoint, in a folder all
     executors share, makes a restart go on where the last one stopped. The
     default ``trigger`` takes what is there and then stops; pass for example
-    ``{"processingTime": "10 seconds"}`` to keep running.
+    ``{"processingTime": "10 seconds"}`` to keep running. A null review stops the
+    query with an error, or is left out under ``on_error="drop"``.
     """
     return (
-        score(model, reviews)
+        score(model, reviews, on_error)
         .writeStream.format(file_format)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)

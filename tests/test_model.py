@@ -174,3 +174,15 @@ def test_all_jobs_in_a_row(spark, tmp_path):
     # Every term is in half of the reviews, so its weight is not zero.
     answers = dict(sm.run_score(model_path, reviews).select("review", "message").collect())
     assert answers == {good: "Sentiment is positive", bad: "Sentiment is negative"}
+
+
+def test_null_reviews(spark, model, tmp_path):
+    reviews = spark.createDataFrame([(1, "fine"), (2, None)], "doc_id long, review string")
+    with pytest.raises(Exception, match="review without a text"):
+        sm.score(model, reviews).count()
+    assert [r["doc_id"] for r in sm.score(model, reviews, on_error="drop").collect()] == [1]
+    reviews.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(reviews.schema).parquet(str(tmp_path / "in"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    sm.score_stream(model, stream, out, checkpoint, on_error="drop").awaitTermination()
+    assert [r["doc_id"] for r in spark.read.parquet(out).collect()] == [1]
