@@ -22,14 +22,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from .common import whole_text, written
 
 K, S = 16, 4
 
+# Ranges of documents for each shuffle partition.
+RANGES = 4
+
 # Code points hashed at once.
 BLOCK = 1 << 20
 
@@ -126,11 +130,6 @@ _FIELDS = [
 ]
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-# Where a range of documents begins and ends, for the pairs across ranges.
-_EDGES = [("range", pa.int32()), ("is_first", pa.bool_()), ("text", pa.string())]
-_EDGE = "range int, is_first boolean, text string"
-
-
 def _compared(doc_id, text: str, own: np.ndarray, following: str, following_own: np.ndarray) -> tuple:
     edited = edited_text(text, following)
     edited_own = anchors(edited)[1]
@@ -146,67 +145,72 @@ def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
     )
 
 
+def _ranges(docs: DataFrame) -> DataFrame:
+    """``range, low, high`` of ranges of ``doc_id``, the highest first: Spark's own sort ranges.
+
+    ``RANGES`` for each shuffle partition. Equal ids are in one range, nulls in the last.
+    """
+    ids = docs.select(F.col("doc_id").cast("long"))
+    n = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ids.repartitionByRange(n, F.col("doc_id").desc_nulls_last())
+    ranged = written(ranged.select("doc_id", F.spark_partition_id().alias("range")), "ranges")
+    return ranged.groupBy("range").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("range")
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of all ``docs`` (``doc_id, text``), and of their texts edited with the next one's.
 
     The next document is that of the next smaller ``doc_id``; after the last comes the
-    first. Documents are sorted in ranges, one shuffle of the texts, and each task walks
-    along its range with two documents in memory. The last of a range waits for the
-    first of the next: these two rows a range are written beside the results and
-    joined afterwards.
+    first. Texts are shuffled once, by ranges of ids whose limits an earlier pass over
+    the ids alone has found, and each task walks along its ranges with two documents
+    in memory. The first document of each range goes to the range before as well,
+    to be the next of its last.
     """
-    n_result = len(_FIELDS)
-    fields = [*_FIELDS, *_EDGES]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        before, rows = None, []
-        nothing = (None,) * (n_result - 1)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = anchors(text)[1]
-                if before is None:
-                    rows.append((None, *nothing, part, True, text))
-                else:
-                    rows.append((*_compared(*before, text, own), None, None, None))
-                before = (doc_id, text, own)
-                if len(rows) >= 256:
-                    yield _batch(rows, fields)
-                    rows = []
-        if before is not None:
-            rows.append((before[0], *nothing, part, False, before[1]))
-        yield _batch(rows, fields)
+    ranges = _ranges(docs).collect()  # a few rows for each shuffle partition
+    n = max(1, len(ranges))
+    lows = np.array([r["low"] for r in reversed(ranges) if r["low"] is not None], np.int64)
+    highs = np.array([r["high"] for r in ranges if r["high"] is not None], np.int64)
+    unnumbered = n - len(lows)  # 1 if a range has nulls only
+
+    @F.pandas_udf(LongType())
+    def place_of(doc_id: pd.Series) -> pd.Series:
+        """Twice the range, and one more for the first id of a range."""
+        ids, null = doc_id.fillna(0).to_numpy(np.int64), doc_id.isna().to_numpy()
+        at = np.where(null, n - 1, n - unnumbered - np.searchsorted(lows, ids, side="right"))
+        first = np.where(null, unnumbered == 1, np.isin(ids, highs))
+        return pd.Series(2 * at + first)
 
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    descending = [F.col("doc_id").desc_nulls_last()]
-    walked = (
-        texts.repartitionByRange(*descending)
-        .sortWithinPartitions(*descending, F.desc("text"))
-        .mapInArrow(walk, f"{_RESULT}, {_EDGE}")
-    )
-    walked = written(walked, "fingerprints")
-    within = walked.filter("range is null").select(*[n for n, _ in _FIELDS])
-    return within.unionByName(_across_ranges(walked.filter("range is not null")))
-
-
-def _across_ranges(edges: DataFrame) -> DataFrame:
-    """The last document of each range with the first of the next; two rows a range."""
-    firsts = edges.filter("is_first").select("range", F.col("text").alias("following"))
-    ordered = Window.orderBy("range")
-    everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select(
-        F.col("range").alias("_last"),
-        F.coalesce(F.lead("range").over(ordered), F.first("range").over(everything)).alias("range"),
+    placed = texts.withColumn("_place", place_of("doc_id"))
+    range_ = F.floor(F.col("_place") / 2)
+    here = F.struct(range_.alias("range"), F.lit(False).alias("ends"))
+    before = F.struct(F.pmod(range_ - 1, F.lit(n)).alias("range"), F.lit(True).alias("ends"))
+    places = F.explode(F.when(F.col("_place") % 2 == 1, F.array(here, before)).otherwise(F.array(here))).alias("at")
+    order = ["range", "ends", F.col("doc_id").desc_nulls_last(), F.desc("text")]
+    placed = (
+        placed.select("doc_id", "text", places)
+        .select("at.range", "at.ends", "doc_id", "text")
+        .repartition("range")
+        .sortWithinPartitions(*order)
     )
-    lasts = edges.filter("not is_first").select(F.col("range").alias("_last"), "doc_id", "text")
-    pairs = lasts.join(after, "_last").join(firsts, "range").select("doc_id", "text", "following")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                _compared(doc_id, text, anchors(text)[1], following, anchors(following)[1])
-                for doc_id, text, following in zip(*(c.to_pylist() for c in batch.columns))
-            ]
-            yield _batch(rows, _FIELDS)
-
-    return pairs.mapInArrow(compare, _RESULT)
+    return placed.mapInArrow(_walk, _RESULT)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document of a range with the one after it."""
+    current, before, rows = None, None, []
+    for batch in batches:
+        for at, ends, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != current:
+                current, before = at, None
+            # Of several rows that share the id after a range, the first ends it.
+            if ends and before is None:
+                continue
+            own = anchors(text)[1]
+            if before is not None:
+                rows.append(_compared(*before, text, own))
+            before = None if ends else (doc_id, text, own)
+            if len(rows) >= 256:
+                yield _batch(rows, _FIELDS)
+                rows = []
+    yield _batch(rows, _FIELDS)

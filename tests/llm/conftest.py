@@ -1,0 +1,54 @@
+"""Small tables with every kind of odd row, and a session whose workers find the package."""
+
+import os
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+# Columns that operators also use for themselves.
+CLASHING = ["size", "target", "key", "id", "class", "component", "line", "row", "doc", "start", "length", "_hash", "root", "n"]
+
+
+@pytest.fixture(autouse=True, scope="session")
+def workers(spark):
+    spark.sparkContext.environment["PYTHONPATH"] = ROOT
+
+
+LONG = " ".join(f"word{i % 997} und{i % 31}" for i in range(40_000))
+
+ODD_ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog near the river bank", "en", "a", 1),
+    (1, "The quick brown fox jumps over the lazy dog near the river bank", "en", "a", 1),
+    (1, "another text of the same number", "en", None, 1),
+    (None, "a text without a number", None, "a", None),
+    (None, None, None, None, None),
+    (2, None, "en", "b", 0),
+    (3, "", "de", "b", 0),
+    (4, " \n\t \n", "fr", "b", 5),
+    (5, "x", "es", "c", 1),
+    (6, LONG, "en", "c", 0),
+    (7, "é中😀 \x00 ́ <|endoftext|> ### </turn> \\", "xx", "d", 3),
+    (8, "\n\n\nThe quick brown fox jumps over the lazy dog near the river bank\n\n", "en", "a", 1),
+]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls, empty and blank texts, repeats, a long text, and columns of clashing names."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(ODD_ROWS, DOCUMENTS)
+    return rows.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], DOCUMENTS)
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

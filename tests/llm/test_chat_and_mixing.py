@@ -1,0 +1,163 @@
+"""Operators 7 and 10: chat formatting and source mixing."""
+
+import hashlib
+import itertools
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from sentimill.llm import chat, mixing, queries
+from sentimill.llm.chat import conversation_digests, example_texts, examples, format_turns, read_turns
+from sentimill.llm.mixing import mix_sources, mixed_documents
+
+SF_DIR = "/root/testdata/sf0.001"
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_query_7_against_brute_force(spark):
+    got = {r["conv_id"]: r for r in queries.op7_prefix_target_chat(spark, SF_DIR).collect()}
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select(*[c.split()[0] for c in TURNS.split(", ")]).collect()]
+    control = r"\### Assistant: </turn> ok"
+    rows += [(-7, 0, "user", control), (-7, 1, "assistant", control)]
+    rows.sort(key=lambda r: r[:2])
+    conversations = {c: list(g) for c, g in itertools.groupby(rows, key=lambda r: r[0])}
+    assert set(got) == set(conversations)
+    for conv_id, turns in conversations.items():
+        said = "".join(t or "" for _, _, role, t in turns if role == "assistant")
+        r = got[conv_id]
+        assert r["n_turns"] == len(turns)
+        assert r["turns_sha256"] == digest("".join(f"{role}\n{t or ''}\n" for _, _, role, t in turns))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(said), digest(said))
+        assert r["formatted_chars"] > sum(len(t or "") for *_, t in turns)
+
+
+CONTROL = st.lists(st.sampled_from(["\\", "#", "###", "</turn>", "\n", "a", " ", "### user:\n", "</turn", ">"]), max_size=12).map("".join)
+
+
+@settings(max_examples=10, deadline=None)
+@given(turns=st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\\n\nb:", ""]), CONTROL), min_size=1, max_size=30))
+def test_any_text_comes_back(spark, turns):
+    rows = spark.createDataFrame([(1, i, role, text) for i, (role, text) in enumerate(turns)], TURNS)
+    formatted = format_turns(rows)
+    back = sorted(read_turns(formatted).collect(), key=lambda r: r["start"])
+    assert [(r["role"], r["text"]) for r in back] == turns
+    assert [r["target"] for r in back] == [t if role == "assistant" else None for role, t in turns]
+    whole = "".join(r["formatted"] for r in sorted(formatted.collect(), key=lambda r: r["start"]))
+    # Outside texts, the end of a turn stands nowhere but where a turn ends.
+    import re
+
+    assert len(re.findall(r"\n</turn>\n", whole)) >= len(turns)
+    assert len(re.findall(r"(?<!\\)</turn>", whole)) == len(turns)
+
+
+def test_an_example_for_each_assistant_turn(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_TURNS", 2)  # offsets across chunks
+    turns = [("system", "s"), ("user", "q1"), ("assistant", "a1"), ("user", "q2"), ("assistant", "### a2"), ("user", "q3")]
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], TURNS)
+    formatted = format_turns(rows)
+    found = sorted(example_texts(formatted).collect(), key=lambda r: r["target_start"])
+    assert examples(formatted).count() == len(found) == 2
+    for r, context, target in zip(found, (2, 4), ("a1", r"\### a2")):
+        before = "".join(f"### {role}:\n{text}\n</turn>\n".replace("\n### a2", "\n\\### a2") for role, text in turns[:context])
+        assert r["text"] == before + "### assistant:\n" + target
+        assert r["text"][r["target_start"] : r["target_end"]] == target
+
+
+def test_odd_turns(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "late"), (None, 5, "assistant", "x"), (2, 1, "assistant", "y" * 200_000)]
+    odd = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit("own") for c in ("start", "formatted", "_key", "before")})
+    got = {r["conv_id"]: r for r in conversation_digests(format_turns(odd)).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {1: 3, None: 1, 2: 1}
+    assert got[1]["turns_sha256"] == digest("user\n\nuser\n\n\nlate\n") and got[1]["loss_chars"] == 0
+    assert got[2]["loss_sha256"] == digest("y" * 200_000)
+    assert conversation_digests(format_turns(spark.createDataFrame([], TURNS))).count() == 0
+
+
+# ----------------------------------------------------------------------- mixing
+
+
+def brute_targets(sizes, weights=(1, 2, 3), most=3):
+    """Share all words by weight; give what is above ``most`` times a source to the others."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in full)
+        open_ = [s for s in names if s not in full]
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        above = {s for s in open_ if share[s] > most * sizes[s]}
+        if not above:
+            return share | {s: most * sizes[s] for s in full}
+        full |= above
+
+
+def test_query_10_against_brute_force(spark, documents):
+    got = {r["doc_id"]: r for r in queries.op10_weighted_fair_queueing(spark, SF_DIR).collect()}
+    rows = documents.collect()
+    size = {r["doc_id"]: len(r["text"].encode().split()) for r in rows}
+    assert {d: r["size"] for d, r in got.items()} == size
+    sources = {}
+    for r in rows:
+        sources.setdefault(r["source"], []).append(r["doc_id"])
+    targets = brute_targets({s: sum(size[d] for d in ids) for s, ids in sources.items()})
+    for source, ids in sources.items():
+        assert {got[d]["source_size"] for d in ids} == {sum(size[d] for d in ids)}
+        assert all(got[d]["target"] == pytest.approx(targets[source]) for d in ids)
+        taken = sum(got[d]["taken"] for d in ids)
+        assert abs(taken - targets[source]) <= max(size[d] for d in ids) * 1.1
+    assert all(r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"] for r in got.values())
+    again = {r["doc_id"]: r for r in queries.op10_weighted_fair_queueing(spark, SF_DIR).collect()}
+    assert got == again
+
+
+def fair_queueing(rows, targets, budget):
+    """Uses in the order of their finish times, until the budget is used up. Rows: key, source, size in queue order."""
+    uses, before = [], {}
+    total = {}
+    for _, source, size, _ in rows:
+        total[source] = total.get(source, 0) + size
+    for key, source, size, order in rows:
+        before[source] = before.get(source, 0) + size
+        if size and targets[source]:
+            uses += [((u * total[source] + before[source]) / targets[source], order, u, key, size) for u in range(3)]
+    copies, used = {}, 0
+    for finish, _, _, key, size in sorted(uses):
+        if used + size / 2 > budget:
+            break
+        used += size
+        copies[key] = copies.get(key, 0) + 1
+    return copies
+
+
+@pytest.mark.parametrize("bins", [2, 1024])
+def test_uses_are_those_of_a_queue(spark, documents, monkeypatch, bins):
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "SORTED", 5)
+    monkeypatch.setattr(mixing, "chunk_count", lambda n: 3)
+    docs = documents.withColumn("source", F.when(F.col("doc_id") % 3 != 0, F.lit("src1")).otherwise(F.col("source")))
+    mixed = {r["doc"]["doc_id"]: r for r in mix_sources(docs).collect()}
+    order = {r["doc_id"]: r["o"] for r in docs.select("doc_id", F.xxhash64(F.lit(0), "doc_id", "source", "text").alias("o")).collect()}
+    rows = sorted((order[d], d, r["doc"]["source"], r["size"]) for d, r in mixed.items())
+    targets = {r["doc"]["source"]: r["target"] for r in mixed.values()}
+    want = fair_queueing([(d, s, n, o) for o, d, s, n in rows], targets, sum(r["size"] for r in mixed.values()))
+    assert {d: r["copies"] for d, r in mixed.items() if r["copies"]} == want
+
+
+def test_mixing_odd_rows(spark, odd, empty):
+    mixed = mix_sources(odd)
+    rows = mixed.collect()
+    assert len(rows) == odd.count()
+    assert all(r["copies"] == 0 for r in rows if not (r["doc"]["text"] or "").split())
+    assert all(r["copies"] <= 3 for r in rows)
+    total = sum(r["size"] for r in rows)
+    assert abs(sum(r["size"] * r["copies"] for r in rows) - total) <= max(r["size"] for r in rows) / 2
+    out = mixed_documents(mixed)
+    assert out.columns == odd.columns and out.count() == sum(r["copies"] for r in rows)
+    assert mix_sources(empty).count() == 0 and mixed_documents(mix_sources(empty)).count() == 0
+    blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
+    assert [(r["size"], r["target"], r["copies"]) for r in mix_sources(blank).collect()] == [(0, 0.0, 0)] * 2

@@ -1,0 +1,233 @@
+"""Operators 5 and 6 and the union-find: near duplicates against exact brute force."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sentimill.llm import fuzzy_lines, near_documents
+from sentimill.llm.components import connected_components
+from sentimill.llm.fuzzy_lines import repeated_lines, without_repeated_lines
+from sentimill.llm.near_documents import near_duplicates, registers, without_near_duplicates
+from sentimill.llm.words import shingle_hashes, text_blocks, word_hashes
+
+
+class Union:
+    def __init__(self):
+        self.of = {}
+
+    def find(self, x):
+        while self.of.setdefault(x, x) != x:
+            x = self.of[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.of[max(a, b)] = min(a, b)
+
+
+def linked(sets, percent):
+    """Union of all pairs of equal or alike sets; pairs come from an index of all elements."""
+    union, index = Union(), defaultdict(set)
+    for key, s in sets.items():
+        union.find(key)
+        for x in s:
+            index[x].add(key)
+    for key, s in sets.items():
+        for other in set().union(*(index[x] for x in s)) if s else ():
+            if other < key:
+                common = len(s & sets[other])
+                if 100 * common >= percent * (len(s) + len(sets[other]) - common):
+                    union.join(key, other)
+    return union
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    n = 300
+    edges = [(i, i + 1) for i in range(60)] + [(500, 500 + i) for i in range(80)]
+    edges += [(rng.randrange(1000, 1000 + n), rng.randrange(1000, 1000 + n)) for _ in range(n // 2)] + [(7, 7), (1, 0)]
+    rng.shuffle(edges)
+    union = Union()
+    for a, b in edges:
+        union.join(a, b)
+    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert set(got) == {x for e in edges if e[0] != e[1] for x in e}
+    groups = defaultdict(set)
+    for node, root in got.items():
+        groups[root].add(union.find(node))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({union.find(x) for x in got})
+
+
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([], "a binary, b binary")
+    assert connected_components(none).count() == 0
+
+
+# -------------------------------------------------------------------- documents
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def shingles(text, size=5):
+    w = words(text)
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def test_word_hashes():
+    texts = ["", " ", "One two ONE", "é\x0bx É", "a" * 300, "tail "]
+    hashes = {}
+    for first, block in text_blocks(texts):
+        found, begins = word_hashes(block)
+        for i, text in enumerate(texts):
+            mine = found[begins[i] : begins[i + 1]].tolist()
+            assert len(mine) == len(words(text))
+            for word, h in zip(words(text), mine):
+                assert hashes.setdefault(word, h) == h
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    text = (" ".join(f"w{i}" for i in range(500)) + " " + "z" * 700).encode()
+    whole = word_hashes([text])[0]
+    monkeypatch.setattr("sentimill.llm.words.BLOCK", 64)
+    assert (word_hashes([text])[0] == whole).all() and len(whole) == 501
+
+
+@pytest.mark.parametrize("n, share", [(4, 0.8), (30, 0.9), (400, 0.85), (5000, 0.6)])
+def test_registers_agree_with_the_similarity(n, share):
+    """Whatever the size of the sets, small ones included."""
+    rng = np.random.default_rng(n)
+    same, estimates = round(n * share), []
+    for _ in range(60):
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.int64).astype(np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:same], pool[n : 2 * n - same]]))
+        r_a, r_b = registers([a, b])
+        estimates.append(near_documents.estimated(np.array([(r_a == r_b).sum()]), np.array([n]), np.array([n]))[0])
+    assert np.mean(estimates) == pytest.approx(same / (2 * n - same), abs=0.03)
+
+
+def family(rng, base, n, changes):
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, changes)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        yield " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def families(spark):
+    """Families of copies around the threshold, large and small, and unrelated texts."""
+    rng = random.Random(5)
+    texts = []
+    for size, changes, length in ((60, 3, 120), (25, 8, 150), (12, 2, 9), (40, 5, 100)):
+        texts += family(rng, [f"b{rng.randrange(10**6)}" for _ in range(length)], size, changes)
+    texts += [" ".join(f"u{rng.randrange(50)}" for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += [texts[3]] * 30 + [texts[0].upper(), None, "", "one", "ONE", "two words"]
+    rng.shuffle(texts)
+    return {i: t for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_duplicates_against_brute_force(spark, families, monkeypatch, block):
+    monkeypatch.setattr(near_documents, "BLOCK", block)
+    docs = spark.createDataFrame(list(families.items()), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in families.items()}
+    union = linked(sets, 85)
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(families)
+    for r in got:
+        root = union.find(r["doc_id"]) if sets[r["doc_id"]] else r["doc_id"]
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), root)
+        assert r["kept"] == (r["doc_id"] == root)
+    assert without_near_duplicates(docs).count() == sum(r["kept"] for r in got)
+
+
+def test_near_duplicates_of_documents(documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    union = linked({d: shingles(t) for d, t in texts.items()}, 85)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(documents).collect()} == {d: union.find(d) for d in texts}
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    rows = near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    same = [r for r in rows if r["doc_id"] in (1, 8) and r["n_shingles"] == 9]
+    assert {r["component_id"] for r in same} == {1}
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in rows if r["n_shingles"] == 0)
+    left = without_near_duplicates(odd)
+    assert left.columns == odd.columns
+    assert Counter(r["doc_id"] for r in left.collect())[8] == 0
+    assert near_duplicates(empty).count() == 0 and without_near_duplicates(empty).count() == 0
+
+
+# ------------------------------------------------------------------------ lines
+
+RUNS = re.compile(r"(?s)(?:(?<!\S)|(?<=\S{24}))(?=(\S.{0,8}))", re.ASCII)
+
+
+def first_places(texts):
+    """Where the component of each line that is not blank stands for the first time."""
+    places = defaultdict(list)
+    for doc_id, text in texts:
+        for i, line in enumerate((text or "").split("\n")):
+            if re.search(r"\S", line, re.ASCII):
+                places[line].append((doc_id, i))
+    union = linked({line: frozenset(RUNS.findall(line)) for line in places}, 80)
+    first = {}
+    for line, found in places.items():
+        root = union.find(line)
+        first[root] = min([first.get(root, found[0]), *found])
+    return {place: first[union.find(line)] for line, found in places.items() for place in found}
+
+
+@pytest.fixture(scope="module")
+def line_docs():
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(n)) for n in (6, 20, 40, 60)]
+    lines = [line for b in base for line in family(rng, b.split(), 25, 4)]
+    lines += ["https://example.org/" + "x" * 30 + str(i) for i in range(8)] + ["中文" * 20, "中文" * 20 + "字", "", " ", "short", "short"]
+    lines += ["common line of all documents"] * 30 + [" ".join(f"u{rng.randrange(9)}" for _ in range(5)) for _ in range(60)]
+    rng.shuffle(lines)
+    return [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(len(lines) // 7 + 1)]
+
+
+@pytest.mark.parametrize("many, salts, fetch", [(100, 32, 64 << 20), (1, 3, 0)])
+def test_lines_against_brute_force(spark, line_docs, monkeypatch, many, salts, fetch):
+    """Also with every key crowded, and without a broadcast."""
+    for name, value in (("MANY", many), ("SALTS", salts), ("BROADCAST_BYTES", fetch), ("SAMPLED", 64 if many > 1 else 1)):
+        monkeypatch.setattr(fuzzy_lines, name, value)
+    docs = spark.createDataFrame(line_docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in repeated_lines(docs).collect()}
+    assert got == first_places(line_docs)
+
+
+def test_lines_of_documents(documents):
+    texts = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    want = first_places(texts)
+    got = repeated_lines(documents).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in got} == want
+    assert all(r["kept"] == ((r["doc_id"], r["line_no"]) == (r["first_doc_id"], r["first_line_no"])) for r in got)
+    cleaned = {r["doc_id"]: r["text"] for r in without_repeated_lines(documents).collect()}
+    for doc_id, text in texts:
+        lines = text.split("\n")
+        assert cleaned[doc_id] == "\n".join(x for i, x in enumerate(lines) if want.get((doc_id, i), (doc_id, i)) == (doc_id, i))
+
+
+def test_lines_of_odd_rows(odd, empty):
+    left = without_repeated_lines(odd)
+    assert left.columns == odd.columns and left.count() == odd.count()
+    texts = Counter(r["text"] for r in left.collect())
+    assert texts[None] == 2 and texts["\n\n\n\n"] == 1  # blank lines stay, the repeated one goes
+    assert repeated_lines(empty).count() == 0 and without_repeated_lines(empty).count() == 0
+
+
+def test_no_python_on_the_path_of_lines(documents):
+    plan = repeated_lines(documents)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
