@@ -16,8 +16,9 @@ sets' Jaccard similarity reaches a threshold, and a component is what links conn
    similarity is far below the threshold leave; the others are verified on their full
    sets. Components of these links are found.
 4. *Rest.* Members of one group that are still in different components are compared with
-   each other, in blocks of a bounded size, and verified as well. So no pair in a group
-   is left out, but pairs that a star has joined already are never made.
+   each other within tasks, in blocks of a bounded size, and verified there on their
+   full sets. So no pair in a group is left out, but pairs that are connected already
+   are skipped, and only links leave a task.
 
 The estimate corrects for registers that agree by chance. Sets are compared as 64-bit
 hashes of the shingles.
@@ -51,8 +52,8 @@ _MANTISSA_BITS = 10
 # Standard deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 5.0
 
-# Members of a group that are compared at once.
-BLOCK = 1024
+# Members of a group, and shingles of all of these, that are one block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 
 _U = np.uint64
 
@@ -220,66 +221,112 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(test, "a binary, b binary")
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of equal key and different ``component``, compared in blocks.
+class _Group:
+    """The members of two blocks of one key, and the pairs of them to look at."""
 
-    ``rows`` has ``band, key, class, n, registers, component, members``. Members of a
-    group are dealt into blocks; a task sees two blocks of one group at a time. A pair
-    is made in the first band that it shares.
+    def __init__(self, at: tuple, own: list, classes: list, n: list, regs: list, components: list):
+        self.band, _, self.i, self.j = at
+        self.own, self.classes, self.n = np.array(own), classes, np.array(n)
+        self.regs = _matrix(regs)
+        self.component = np.unique(np.array(components, object), return_inverse=True)[1]
+
+    def pairs(self, percent: int, lowest: float) -> Iterator[tuple[int, np.ndarray]]:
+        """A member, and those that it may be linked with in this key and no earlier one.
+
+        Members of the two blocks meet each other; those of one block, the ones after.
+        """
+        for x in np.flatnonzero(self.own == self.i):
+            others = np.flatnonzero(self.own == self.j) if self.i != self.j else np.arange(x + 1, len(self.own))
+            others = others[self.component[others] != self.component[x]]
+            n, other_n = self.n[x], self.n[others]
+            others = others[100 * np.minimum(other_n, n) >= percent * np.maximum(other_n, n)]
+            if not len(others):
+                continue
+            same = self.regs[others] == self.regs[x]
+            first = same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band
+            good = others[first & (estimated(same.sum(axis=1), self.n[others], n) >= lowest)]
+            if len(good):
+                yield x, good
+
+
+_GROUP = ["band", "key", "i", "j"]
+_MEMBER = [*_GROUP, "own", "class", "n", "registers", "component"]
+_MEMBER_TYPES = "band int, key long, i int, j int, own int, class binary, n long, registers binary, component binary"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Group, list[tuple]] | None]:
+    """Each group of rows sorted by ``_GROUP``, with its rows; None at the end of a batch."""
+    current, rows = None, []
+
+    def group() -> tuple[_Group, list[tuple]]:
+        _, _, _, _, own, classes, n, regs, components, *_ = zip(*rows)
+        return _Group(current, own, classes, n, regs, components), rows
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:4] != current:
+                if len(rows) > 1:
+                    yield group()
+                current, rows = row[:4], []
+            rows.append(row)
+        yield None
+    if len(rows) > 1:
+        yield group()
+
+
+def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links ``a, b`` between members of equal key and different ``component``.
+
+    ``rows`` has ``band, key, class, n, registers, component, members, shingles``. Members
+    of a key are dealt into blocks, and a task sees two blocks of one key at a time.
+    A first pass marks the members that have somebody to be compared with, a second
+    one gets their full sets. Pairs live within a task: what leaves it are marked members,
+    then links, and of these only such that join two components.
     """
     lowest = lowest_estimate(percent)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = (
         rows.withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            "own", "class", "n", "registers", "component",
-        )
-    )
-    group = ["band", "key", "i", "j"]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, members = None, []
-        for batch in batches:
-            found = []
-            for *at, own, class_, n, regs, component in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != current:
-                    found += _pairs(current, members)
-                    current, members = at, []
-                members.append((own, class_, n, regs, component))
-            yield _arrow([[p[0] for p in found], [p[1] for p in found]], [pa.binary()] * 2, ["a", "b"])
-        found = _pairs(current, members)
-        yield _arrow([[p[0] for p in found], [p[1] for p in found]], [pa.binary()] * 2, ["a", "b"])
-
-    def _pairs(at, members) -> list[tuple[bytes, bytes]]:
-        if len(members) < 2:
-            return []
-        band, _, i, j = at
-        # Members of the two blocks against each other; of one block against those after.
-        left = np.array([m[0] == i for m in members])
-        regs, n = _matrix([m[3] for m in members]), np.array([m[2] for m in members])
-        _, component = np.unique(np.array([m[4] for m in members], object), return_inverse=True)
-        found = []
-        for x in np.flatnonzero(left):
-            others = np.flatnonzero(~left) if i != j else np.arange(x + 1, len(members))
-            others = others[component[others] != component[x]]
-            sized = 100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])
-            others = others[sized]
-            if not len(others):
-                continue
-            same = regs[others] == regs[x]
-            keys = same.reshape(len(others), BANDS, ROWS).all(axis=2)
-            good = (keys.argmax(axis=1) == band) & (estimated(same.sum(axis=1), n[others], n[x]) >= lowest)
-            found += [(members[x][1], members[y][1]) for y in others[good]]
-        return found
-
-    return (
-        dealt.repartition(*group).sortWithinPartitions(*group, "class").mapInArrow(compare, "a binary, b binary")
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .select(*_MEMBER)
     )
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        for found in _groups(batches):
+            if found:
+                group, members = found
+                marked = sorted({int(y) for x, others in group.pairs(percent, lowest) for y in (x, *others)})
+                if marked:
+                    yield _arrow(list(zip(*(members[y] for y in marked))), types, _MEMBER)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _groups(batches):
+            if found:
+                group, members = found
+                full = [np.frombuffer(m[-1], np.uint64) for m in members]
+                links = []
+                for x, others in group.pairs(percent, lowest):
+                    for y in others:
+                        if group.component[x] == group.component[y]:
+                            continue
+                        common = len(np.intersect1d(full[x], full[y], assume_unique=True))
+                        if 100 * common >= percent * (len(full[x]) + len(full[y]) - common):
+                            group.component[group.component == group.component[y]] = group.component[x]
+                            links.append((group.classes[x], group.classes[y]))
+                if links:
+                    yield _arrow(list(zip(*links)), [pa.binary()] * 2, ["a", "b"])
+
+    def together(members: DataFrame) -> DataFrame:
+        return members.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "class")
+
+    marked = together(dealt).mapInArrow(mark, _MEMBER_TYPES)
+    with_sets = marked.join(sets, "class").select(*_MEMBER, "shingles")
+    return together(with_sets).mapInArrow(verify, "a binary, b binary")
+
 
 # ------------------------------------------------------------------ components
 
@@ -330,11 +377,12 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int) -> D
 
     roots = connected_components(links).select(F.col("node").alias("class"), "root")
     placed = grouped.join(roots, "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
-    torn = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    torn = torn.filter("_low != _high").select("key")
-    rows = placed.join(torn, "key", "left_semi").join(classes.select("class", "n", "registers"), "class")
-    rest = written(_verified(_rest(rows, percent), sets, percent), "rest-links")
-    return links.unionByName(rest)
+    placed = placed.join(classes.select("class", "n", "registers"), "class")
+    torn = placed.groupBy("key").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.sum("n").alias("shingles")
+    )
+    torn = torn.filter("_low != _high").select("key", "shingles")
+    return links.unionByName(written(_rest(placed.join(torn, "key"), sets, percent), "rest-links"))
 
 
 def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
