@@ -136,7 +136,7 @@ def brute_tree(texts, depth=2):
             divergence = sum(s * math.log(s / parents[w]) for w, s in shares.items()) + left * math.log(left / left_parent)
             if total * divergence > suffix_tree.PENALTY * len(own):
                 rest = 1 - sum((c - suffix_tree.DISCOUNT) / total for c in own.values())
-                found[context] = (np.float32(rest), {w: np.float32((c - suffix_tree.DISCOUNT) / total) for w, c in own.items()})
+                found[context] = (float(np.float32(rest)), {w: float(np.float32((c - suffix_tree.DISCOUNT) / total)) for w, c in own.items()})
         states.update(found)
     return n, v, one, probability, states
 
