@@ -31,7 +31,7 @@ def predictions(df):
     return {r["doc_id"]: (r["prediction"], r["message"]) for r in df.collect()}
 
 
-def test_parameters():
+def test_parameters(spark):
     _, hashing, idf, regression = sm.build_pipeline().getStages()
     assert hashing.getNumFeatures() == 1000 and not hashing.getBinary()
     assert idf.getMinDocFreq() == 10
@@ -40,7 +40,7 @@ def test_parameters():
     assert regression.getStandardization() and regression.getFitIntercept()
 
 
-def test_default_variant_has_the_defaults_of_spark():
+def test_default_variant_has_the_defaults_of_spark(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
