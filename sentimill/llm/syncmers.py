@@ -6,9 +6,9 @@ on the run alone, so a passage chooses the same anchors in every text, at positi
 that differ by the same distance. One run in about (K - S + 1) / 2 is chosen.
 
 A fingerprint is the 32-bit hashes of the anchors in the order of their positions, as
-base64. A text of fewer than ``K`` code points has one anchor, itself. Likeness is
-twice the anchors in common over the anchors of both, repeats counted: 1 for equal
-texts, and the overlap of two texts in general.
+base64. A text that chooses no run, as all of fewer than ``K`` code points, has one
+anchor, itself. Likeness is twice the anchors in common over the anchors of both, repeats
+counted: 1 for equal texts, and the overlap of two texts in general.
 
 Results for odd input: a null text is empty; an empty table gives no rows; a single
 document is its own next; rows of equal ``doc_id`` follow by text, a null ``doc_id`` comes
@@ -75,14 +75,14 @@ def _anchors(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]
 def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Positions (from 0) and hashes of the anchors of ``text``; ``k`` and ``s`` are powers of two."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    if len(codes) < k:
-        own = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little")
-        return np.zeros(1, np.int64), np.array([own], "<u4")
     found = [
         (at + start, hashes)
         for start in range(0, len(codes) - k + 1, BLOCK)
         for at, hashes in [_anchors(codes[start : start + BLOCK + k - 1], k, s)]
     ]
+    if not any(len(at) for at, _ in found):
+        own = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little")
+        return np.zeros(1, np.int64), np.array([own], "<u4")
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
