@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat import conversation_digests, format_turns
 from .common import table, written
 from .fuzzy_lines import repeated_lines
+from .hard_negatives import hard_negatives
 from .languages import identify_documents, identify_pages, trigram_counts
 from .mixing import mix_sources
 from .near_documents import near_duplicates
 from .packing import pack_documents
+from .quality_rules import judge, sql as quality_sql
 from .search import search
+from .spelling import spelling_variants
 from .suffix_tree import score_documents
 from .syncmers import fingerprint_documents
 from .token_trees import edited_counts, token_trees
@@ -94,7 +97,49 @@ def op10_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
 
 
-_QUERIES = [op1_edit_aware_token_counts, op2_bayesian_language_id, op3_probabilistic_suffix_tree, op4_block_max_wand, op5_minhash_fuzzy_lines, op6_hyperminhash_near_dedup, op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing]
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives for the positives of every row whose id is divisible by 50, with some labels moved on."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+# Every step of operator 11 on all pairs of an anchor and a row at once.
+_HARD_NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: NOT coalesce(isfinite(x), false))) = 0),
+scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+         coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))), 0) AS score
+  FROM usable a, usable b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST) AS place FROM scored WHERE same),
+mined AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.r ORDER BY n.score DESC, n.vec_id NULLS LAST) AS rank
+  FROM positives p JOIN scored n ON p.ar = n.ar
+  WHERE p.place <= 5 AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT CAST(anchor_id AS BIGINT) AS anchor_id, CAST(positive_id AS BIGINT) AS positive_id, CAST(rank AS INTEGER) AS rank,
+       CAST(negative_id AS BIGINT) AS negative_id, CAST(positive_score AS BIGINT) AS positive_score,
+       CAST(negative_score AS BIGINT) AS negative_score
+FROM mined WHERE rank <= 3"""
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's figures and the verdict of the table of rules."""
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("row.doc_id", *[c for c in judged.columns if c != "row"])
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents, its form and its root."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_edit_aware_token_counts, op2_bayesian_language_id, op3_probabilistic_suffix_tree, op4_block_max_wand, op5_minhash_fuzzy_lines, op6_hyperminhash_near_dedup, op7_prefix_target_chat, op8_shortest_pack_first, op9_closed_syncmers, op10_weighted_fair_queueing, op11_hard_negatives, op12_quality_rules, op13_spelling_variants]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -102,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op11_hard_negatives.__name__: _HARD_NEGATIVES_SQL, op12_quality_rules.__name__: quality_sql()}

@@ -169,7 +169,9 @@ def test_near_duplicates_of_odd_rows(odd, empty):
 
 # ------------------------------------------------------------------------ lines
 
-RUNS = re.compile(r"(?s)(?:(?<!\S)|(?<=\S{24}))(?=(\S.{0,8}))", re.ASCII)
+
+def every_run(line):
+    return frozenset(line[i : i + 9] for i in range(max(1, len(line) - 8)))
 
 
 def first_places(texts):
@@ -179,7 +181,7 @@ def first_places(texts):
         for i, line in enumerate((text or "").split("\n")):
             if re.search(r"\S", line, re.ASCII):
                 places[line].append((doc_id, i))
-    union = linked({line: frozenset(RUNS.findall(line)) for line in places}, 80)
+    union = linked({line: every_run(line) for line in places}, 80)
     first = {}
     for line, found in places.items():
         root = union.find(line)
