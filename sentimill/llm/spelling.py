@@ -9,11 +9,12 @@
    left between the parts its words share, until that is one code point, of which there
    are no more than the alphabet has: no block is cut or skipped.
 3. *Sorted-list dynamic programming.* A block's words, sorted by the part they need not share,
-   are scanned once, against all words of the block at a time. Rows of the edit matrix, three
+   are scanned once, against those of full length as queries. Rows of the edit matrix, three
    cells wide around the diagonal, stand on a stack; the next word takes those of the
-   prefix it shares with the one before and computes only the rest. Words stay on the stack's
-   level as queries while a cell of their row is at most one; where none is left, the scan
-   goes on behind all words that share that prefix.
+   prefix it shares with the one before and computes only the rest. The queries are sorted, too:
+   those that share what a row has read of them are one range with one row. A range stays
+   on the stack while a cell of its row is at most one; where none is left, the scan goes on
+   behind all words that share that prefix.
 4. *Forms.* The near words of each word are grouped to its number of near words and its form, and
    forms are followed to their roots by doubling: counts grow at least tenfold at each step.
 
@@ -28,7 +29,6 @@ rows; other columns are not read.
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -118,17 +118,22 @@ def near_pairs(words: DataFrame, block_words: int | None = None) -> DataFrame:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of all blocks of a partition, which come one after another."""
-    a, b = [], []
+    found = []
     for (longer, head, tail), rests in _blocks(batches):
-        for i, j in scan(rests):
-            if max(len(rests[i]), len(rests[j])) + len(head) + len(tail) == longer:
-                first, second = head + rests[i] + tail, head + rests[j] + tail
-                a.append(min(first, second))
-                b.append(max(first, second))
-        if len(a) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+        size = longer - len(head) - len(tail)
+        # One word of a pair has the full length; two shorter ones meet in another block.
+        full = [r for r in rests if len(r) == size]
+        for i, j in scan(full, rests):
+            if len(rests[j]) < size or full[i] < rests[j]:
+                found.append(tuple(sorted((head + full[i] + tail, head + rests[j] + tail))))
+        if len(found) >= 10_000:
+            yield _batch(found)
+            found = []
+    yield _batch(found)
+
+
+def _batch(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["a", "b"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str]]]:
@@ -156,54 +161,88 @@ def shared_prefix(a: str, b: str) -> int:
     return low
 
 
-def scan(words: list[str]) -> list[tuple[int, int]]:
-    """All ``i < j`` with exactly one edit between the sorted, distinct ``words[i]`` and ``words[j]``.
+def _next_states() -> list[int]:
+    """The row after a row, for each three cells (0, 1, or 2 for more) and each three comparisons; -1: all above one."""
+    states = []
+    for unlike in range(8):
+        for row in range(27):
+            left, on, right = row % 3, row // 3 % 3, row // 9
+            u, v, w = unlike % 2, unlike // 2 % 2, unlike // 4
+            left = min(left + u, on + 1, 2)
+            on = min(on + v, right + 1, left + 1, 2)
+            right = min(right + w, on + 1, 2)
+            states.append(-1 if left == on == right == 2 else left + 3 * on + 9 * right)
+    return states
+
+
+_NEXT = _next_states()
+
+# Row 0: no cell before the diagonal, 0 on it, 1 behind it.
+_START = 2 + 3 * 0 + 9 * 1
+
+
+class _Ranges:
+    """Sorted queries as ranges that share a prefix, split as the prefix grows."""
+
+    def __init__(self, queries: list[str]):
+        # A column before the first code point and two behind the last that equal none.
+        self.padded = ["\0" + q + "\0\0" for q in queries]
+        self.shared = [0, *map(shared_prefix, queries, queries[1:])]
+        self.split: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def of(self, low: int, high: int, n: int) -> list[tuple[int, int]]:
+        """The parts of a range whose queries share ``n`` code points, or are shorter and alone."""
+        if high - low == 1:
+            return [(low, high)]
+        found = self.split.get((low, n))
+        if found is None:
+            cuts = [low, *(k for k in range(low + 1, high) if self.shared[k] < n), high]
+            found = self.split[low, n] = list(zip(cuts, cuts[1:]))
+        return found
+
+
+def scan(queries: list[str], words: list[str]) -> list[tuple[int, int]]:
+    """All ``i, j`` with exactly one edit between ``queries[i]`` and ``words[j]``, both sorted and distinct.
 
-    ``stack[d]`` belongs to the current word's first ``d`` code points: the queries that
-    are still within one edit of them, and their cells of row ``d`` at columns ``d - 1``,
-    ``d`` and ``d + 1``.
+    ``stack[d]`` belongs to the current word's first ``d`` code points: the ranges of queries
+    that are still within one edit of them, and the cells of row ``d`` at columns ``d - 1``,
+    ``d`` and ``d + 1``, which depend on no more than the ``d + 1`` code points a range shares.
     """
-    lengths = np.array([len(w) for w in words])
-    width = int(lengths.max()) + 3
-    # Columns count from one; nothing equals the zeros around a word.
-    codes = np.zeros((len(words), width), np.int64)
-    for i, w in enumerate(words):
-        codes[i, 1 : len(w) + 1] = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
-    everyone = np.arange(len(words))
-    start = np.tile(np.array([9, 0, 1], np.int64), (len(words), 1))
-    stack = [(everyone, start)]
+    if not queries:
+        return []
+    ranges = _Ranges(queries)
+    padded, lengths = ranges.padded, [len(q) for q in queries]
+    stack = [[(low, high, _START) for low, high in ranges.of(0, len(queries), 1)]]
     pairs = []
     j, previous = 0, ""
     while j < len(words):
         word = words[j]
         del stack[shared_prefix(previous, word) + 1 :]
         previous = word
-        dead = not len(stack[-1][0])
-        while not dead and len(stack) <= len(word):
-            queries, cells = stack[-1]
+        while stack[-1] and len(stack) <= len(word):
             d = len(stack)
-            here = int(codes[j, d])
-            unlike = [codes[queries, c] != here if c > 0 else np.ones(len(queries), bool) for c in (d - 1, min(d, width - 1), min(d + 1, width - 1))]
-            before = np.minimum(cells[:, 0] + unlike[0], cells[:, 1] + 1)
-            on = np.minimum(np.minimum(cells[:, 1] + unlike[1], cells[:, 2] + 1), before + 1)
-            after = np.minimum(cells[:, 2] + unlike[2], on + 1)
-            row = np.stack([before, on, after], 1)
-            alive = row.min(1) <= 1
-            stack.append((queries[alive], row[alive]))
-            dead = not alive.any()
-        depth = len(stack) - 1
-        if dead:
+            here, row = word[d - 1], []
+            for low, high, state in stack[-1]:
+                for start, end in ranges.of(low, high, d + 1):
+                    q = padded[start]
+                    unlike = (q[d - 1 : d] != here) + 2 * (q[d : d + 1] != here) + 4 * (q[d + 1 : d + 2] != here)
+                    after = _NEXT[27 * unlike + state]
+                    if after >= 0:
+                        row.append((start, end, after))
+            stack.append(row)
+        if not stack[-1]:
             # Whoever shares this prefix is out of reach of all queries.
-            prefix = word[:depth]
+            prefix = word[: len(stack) - 1]
             j += 1
             while j < len(words) and words[j].startswith(prefix):
                 j += 1
             continue
-        queries, cells = stack[-1]
-        column = lengths[queries] - len(word) + 1
-        close = (column >= 0) & (column <= 2) & (queries < j)
-        hit = queries[close][cells[close, column[close]] == 1]
-        pairs += [(int(i), j) for i in hit]
+        for low, high, state in stack[-1]:
+            cells = (state % 3, state // 3 % 3, state // 9)
+            for i in range(low, high):
+                column = lengths[i] - len(word) + 1
+                if 0 <= column <= 2 and cells[column] == 1:
+                    pairs.append((i, j))
         j += 1
     return pairs
 
