@@ -91,7 +91,7 @@ def _repeated_words(windows: str) -> Column:
         F.slice(w, F.lit(2), rest),
         lambda a, b: F.when(a["text"] == b["text"], F.array(a["place"], b["place"])).otherwise(F.array().cast("array<int>")),
     )
-    return F.array_sort(F.array_distinct(F.flatten(places)))
+    return F.sort_array(F.array_distinct(F.flatten(places)))
 
 
 def _covered(places: str) -> Column:
@@ -109,7 +109,7 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
     numbered = F.sequence(F.lit(0), F.size("_words") - WINDOW)
     windows = F.transform(
         F.when(F.size("_words") >= WINDOW, numbered).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.array_join(F.slice("_words", i + 1, F.lit(WINDOW)), " ").alias("text"), i.alias("place")),
+        lambda i: F.struct(F.concat_ws(" ", *[F.get("_words", i + k) for k in range(WINDOW)]).alias("text"), i.alias("place")),
     )
     split = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text(f"`{text}`").alias("_text")).select(
         "row",
@@ -118,7 +118,7 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
         lines.alias("_lines"),
         F.filter(F.split(bare, WHITE), lambda x: x.isin(STOP_WORDS)).alias("_stops"),
     )
-    sorted_windows = split.withColumn("_windows", F.array_sort(windows))
+    sorted_windows = split.withColumn("_windows", F.sort_array(windows))
     repeated = sorted_windows.withColumn("_places", _repeated_words("_windows"))
     n_lines = F.size("_lines").cast("long")
     return repeated.select(
