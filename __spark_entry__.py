@@ -430,6 +430,47 @@ def training_loss(spark, sf_dir) -> DataFrame:
     return own.unionByName(defaults)
 
 
+# The parameters of the own variant, until nothing is left to gain.
+SETTLED = {"max_iter": 1000, "tol": 1e-12}
+
+# Largest part of the gradient that a variant may end with.
+GRADIENT_BOUNDS = {"own": 0.05, "defaults": 1e-4, "settled": 1e-6}
+
+
+def fit_moments(spark, sf_dir) -> DataFrame:
+    """M4, M5: every feature's moments, and is the settled fit's gradient along it zero?
+
+    At the optimum the label's moment is the probability's, less the penalty.
+    """
+    rows = _training_rows(spark, sf_dir)
+    of_features = sm.gradient_by_feature(sm.train(rows, **SETTLED), rows)
+    return of_features.select(
+        "bucket",
+        *[F.round(c, 6).alias(c) for c in ("mean", "std", "label_moment")],
+        (F.abs("gradient") <= GRADIENT_BOUNDS["settled"]).alias("at_optimum"),
+    )
+
+
+def fit_optimality(spark, sf_dir) -> DataFrame:
+    """Rows and features that vary, is the objective over all rows the one that the fit
+    ended with, and does its gradient stay within the variant's bound?
+    """
+    rows = _training_rows(spark, sf_dir)
+    found = None
+    for name, params in (("own", {}), ("defaults", sm.DEFAULT_PARAMS), ("settled", SETTLED)):
+        model = sm.train(rows, **params)
+        ended = F.lit(model.stages[-1].summary.objectiveHistory[-1])
+        one = sm.optimality(model, rows).select(
+            F.lit(name).alias("variant"),
+            "n_rows",
+            "n_features",
+            (F.abs(F.col("objective") - ended) <= 1e-9).alias("objective_is_the_fits"),
+            (F.col("largest_gradient") <= GRADIENT_BOUNDS[name]).alias("gradient_within_bound"),
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def jobs_over_files(spark, sf_dir) -> DataFrame:
     """B2, B3, B4 with S2, K2, S4, K4, K5 against the same steps in memory.
 
@@ -543,6 +584,8 @@ _QUERIES = [
     train_and_score,
     train_default_variant,
     training_loss,
+    fit_moments,
+    fit_optimality,
     saved_model_against_unsaved,
     predictions_recomputed,
     jobs_over_files,
@@ -648,17 +691,21 @@ basic AS (
   FROM quoted)"""
 
 # Tokens: lower case, split on each whitespace, blank tokens at the end dropped.
-_TOKENS = r"""tokens AS (
+def _tokens(table: str = "documents") -> str:
+    return rf"""tokens AS (
   SELECT doc_id, CASE WHEN text = '' THEN [''] WHEN stripped = '' THEN []
                       ELSE string_split_regex(stripped, '[ \t\n\x0B\f\r]') END AS words
-  FROM (SELECT doc_id, text, regexp_replace(lower(text), '[ \t\n\x0B\f\r]+$', '') AS stripped FROM documents)),
+  FROM (SELECT doc_id, text, regexp_replace(lower(text), '[ \t\n\x0B\f\r]+$', '') AS stripped FROM {table})),
 pairs AS (SELECT doc_id, unnest(words) AS term FROM tokens)"""
 
+
+_TOKENS = _tokens()
+
 _TF = "tf AS (SELECT doc_id, term, count(*) AS tf FROM pairs GROUP BY doc_id, term)"
 
 # The 32-bit Murmur3 hash (seed 42) of each term's bytes, four at a time.
-def _buckets(width: int) -> str:
-    return f"""{_TOKENS},
+def _buckets(width: int, table: str = "documents") -> str:
+    return f"""{_tokens(table)},
 coded AS (SELECT term, hex(encode(term)) AS hx, octet_length(encode(term)) AS n
           FROM (SELECT DISTINCT term FROM pairs)),
 mixed AS (
@@ -710,7 +757,30 @@ SELECT bucket, CASE WHEN doc_freq >= 10 THEN doc_freq ELSE 0 END AS doc_freq,
 FROM freq CROSS JOIN n"""
 
 
+def _moments(width: int) -> str:
+    """CTEs up to ``moments``: each feature's moments over the documents with a label."""
+    return f"""
+WITH RECURSIVE rated AS (
+  SELECT d.doc_id, d.text, CAST(l.quality AS DOUBLE) AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+{_buckets(width, "rated")},
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(y) AS share FROM rated),
+weights AS (SELECT bucket, {_idf("any_value(n)", "count(*)")} AS idf FROM cells CROSS JOIN n GROUP BY bucket),
+sums AS (
+  SELECT bucket, sum(tf * idf) AS s, sum(tf * idf * tf * idf) AS ss, sum(tf * idf * y) AS xy
+  FROM cells JOIN weights USING (bucket) JOIN rated USING (doc_id) WHERE idf > 0 GROUP BY bucket),
+moments AS (
+  SELECT bucket, s / n AS mean, sqrt((ss - s * s / n) / (n - 1)) AS std, xy / n AS label_moment FROM sums CROSS JOIN n)"""
+
+
+def _rows_and_features(variant: str, width: int) -> str:
+    return f"""{_moments(width)}
+SELECT '{variant}' AS variant, CAST(n AS BIGINT) AS n_rows, (SELECT count(*) FROM moments WHERE std > 0) AS n_features,
+       true AS objective_is_the_fits, true AS gradient_within_bound
+FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
+    widths = {"own": 1000, "defaults": sm.DEFAULT_PARAMS["num_features"], "settled": 1000}
     every_rating = "doc_id % 5 + 1"
     blanks = f"CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(9) || ',' ELSE '' END || {_BODY}"
     feature_lines_sql = f"WITH {_FEATURES} SELECT {_FEATURE_LINE} AS line FROM features"
@@ -824,6 +894,10 @@ FROM labelled""",
 SELECT variant, count(*) AS n_reviews, true AS better_than_share
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id, (VALUES ('own'), ('defaults')) v(variant)
 GROUP BY variant""",
+        "fit_moments": f"""{_moments(1000)}
+SELECT bucket, round(mean, 6) AS mean, round(std, 6) AS std, round(label_moment, 6) AS label_moment, true AS at_optimum
+FROM moments UNION ALL SELECT -1, 1.0, 0.0, round(share, 6), true FROM n""",
+        "fit_optimality": " UNION ALL ".join(f"SELECT * FROM ({_rows_and_features(v, w)})" for v, w in widths.items()),
         "saved_model_against_unsaved": none_different_sql,
         "predictions_recomputed": none_different_sql,
         "jobs_over_files": none_different_sql,

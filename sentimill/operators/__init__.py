@@ -2,6 +2,7 @@
 
 from .classifier import DEFAULT_PARAMS, PARAMS, build_pipeline, fit, hashed_counts, hashed_idf
 from .labels import rating_label, sentiment_label
+from .optimality import gradient_by_feature, optimality
 from .parse import parse_quoted_lines, parse_review_lines, parse_training_lines, with_body
 from .releases import (
     default_releases,
@@ -24,8 +25,10 @@ __all__ = [
     "document_frequencies",
     "feature_line",
     "fit",
+    "gradient_by_feature",
     "hashed_counts",
     "hashed_idf",
+    "optimality",
     "parse_quoted_lines",
     "parse_review_lines",
     "parse_training_lines",

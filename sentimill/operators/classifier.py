@@ -25,13 +25,14 @@ def build_pipeline(
     min_doc_freq: int = PARAMS["min_doc_freq"],
     max_iter: int = PARAMS["max_iter"],
     reg_param: float = PARAMS["reg_param"],
+    tol: float = 1e-6,
     aggregation_depth: int = 2,
     max_block_size_in_mb: float = 0.0,
 ) -> Pipeline:
     """The unfitted pipeline over columns ``review`` and ``label``.
 
-    The last two arguments are Spark's: levels of the tree that adds up gradients,
-    and size of the blocks of rows (0: Spark's choice).
+    The last three arguments are Spark's: the relative gain below which the fit ends,
+    levels of the tree that adds up gradients, and size of the blocks of rows (0: Spark's choice).
     """
     return Pipeline(
         stages=[
@@ -41,6 +42,7 @@ def build_pipeline(
             LogisticRegression(
                 maxIter=max_iter,
                 regParam=reg_param,
+                tol=tol,
                 aggregationDepth=aggregation_depth,
                 maxBlockSizeInMB=max_block_size_in_mb,
             ),
