@@ -255,19 +255,26 @@ def training_file(spark, sf_dir) -> DataFrame:
 
 
 def object_lines_with_blanks(spark, sf_dir) -> DataFrame:
-    """One file a document, each with empty lines inside and at its end; how often each line comes.
+    """Files of whole texts with empty lines inside and at their ends; how often each line comes.
 
-    The text of a document is its first line twice around an empty one, then its number.
+    A document gives its text, an empty line, its text with ``\\r`` behind it, two empty lines and its
+    number; each of 16 files ends with three empty lines. Files are read in splits of 64 KB.
     """
-    path = shared_path(spark, "blank-lines")
-    first = F.element_at(F.split("text", "\n"), 1)
+    path, splits = shared_path(spark, "blank-lines"), "spark.sql.files.maxPartitionBytes"
     number = F.col("doc_id").cast("string")
-    body = F.concat(first, F.lit("\n\n"), first, F.lit("\r\n\n\n"), number, F.lit("\n\n\n"))
-    files = _table(spark, sf_dir, "documents").select(body.alias("value"), (F.col("doc_id") % 16).alias("part"))
-    sm.write_lines(files.repartition(16, "part").select("value"), path)
-    lines = sm.read_object_lines(spark, path)
-    # Files that hold several documents have blank lines of all but the last inside.
-    return lines.filter("value != ''").groupBy("value").agg(F.count("*").alias("n"))
+    body = F.concat("text", F.lit("\n\n"), "text", F.lit("\r\n\n\n"), number)
+    rows = _table(spark, sf_dir, "documents").select(body.alias("value"), (F.col("doc_id") % 16).alias("part"))
+    parts = spark.range(16).select(F.lit("\n\n").alias("value"), F.col("id").alias("part"))
+    # The files' last lines, empty, sort behind all others.
+    files = rows.withColumn("last", F.lit(0)).unionByName(parts.withColumn("last", F.lit(1)))
+    sm.write_lines(files.repartition(16, "part").sortWithinPartitions("last").select("value"), path)
+    before = spark.conf.get(splits)
+    spark.conf.set(splits, "64k")
+    try:
+        lines = sm.read_object_lines(spark, path)
+    finally:
+        spark.conf.set(splits, before)
+    return lines.groupBy("value").agg(F.count("*").alias("n"))
 
 
 def _spoiled(good: Column, *bad: str) -> Column:
@@ -278,31 +285,66 @@ def _spoiled(good: Column, *bad: str) -> Column:
     return spoiled.otherwise(good)
 
 
-def ingest_dropping_short_lines(spark, sf_dir) -> DataFrame:
-    """B1, P1, P2 under ``drop``: lines of fewer than four fields are left out."""
+def _spoiled_quoted_lines(spark, sf_dir) -> DataFrame:
     line = F.concat(F.lit('"'), F.concat_ws('","', F.col("doc_id").cast("string"), F.lit("day"), _one_line(), F.lit("neutral")))
     spoiled = _spoiled(line, '"1","2","3"', "", "no separator")
-    return sm.ingest(_table(spark, sf_dir, "documents").select(spoiled.alias("value")), on_error="drop")
+    return _table(spark, sf_dir, "documents").select(spoiled.alias("value"))
 
 
-def features_dropping_bad_lines(spark, sf_dir) -> DataFrame:
-    """B2 under ``drop``: short lines, bad ratings, bad dates and unknown years are left out."""
-    docs = _table(spark, sf_dir, "documents")
-    # The document's number is the version, so that it comes back.
-    number = F.col("doc_id").cast("string")
-    line = F.concat(_review_date_text(), F.lit(","), number, F.lit(","), (F.col("doc_id") % 5 + 1).cast("string"), F.lit(",x"))
+def _spoiled_review_lines(spark, sf_dir) -> DataFrame:
+    """Review lines with the document's number as version, so that it comes back."""
+    number, rating = F.col("doc_id").cast("string"), (F.col("doc_id") % 5 + 1).cast("string")
+    line = F.concat(_review_date_text(), F.lit(","), number, F.lit(","), rating, F.lit(","), _one_line(), F.lit(" "))
     spoiled = _spoiled(
         line, "mar 14 2016,1,4", "mar 14 2016,1,4.5,x", "14 mar 2016,1,4,x", "mar 14 1999,1,4,x", "mar 14 2016,1,4, "
     )
-    return sm.build_features(docs.select(spoiled.alias("value")), sm.default_releases(spark), on_error="drop")
+    return _table(spark, sf_dir, "documents").select(spoiled.alias("value"))
+
+
+def _spoiled_training_lines(spark, sf_dir) -> DataFrame:
+    text, number = F.replace(_one_line(), F.lit(","), F.lit(";")), F.col("doc_id").cast("string")
+    label = (F.col("doc_id") % 2).cast("string")
+    line = F.concat(text, F.lit(",TRUE,"), number, F.lit(","), label)
+    spoiled = _spoiled(line, "text,true,1", "text,true,1,one", "")
+    return _table(spark, sf_dir, "documents").select(spoiled.alias("value"))
+
+
+def ingest_dropping_short_lines(spark, sf_dir) -> DataFrame:
+    """B1, P1, P2 under ``drop``: lines of fewer than four fields are left out."""
+    return sm.ingest(_spoiled_quoted_lines(spark, sf_dir), on_error="drop")
+
+
+def features_dropping_bad_lines(spark, sf_dir) -> DataFrame:
+    """B2 under ``drop``: short lines, bad ratings, bad dates and unknown years are left out."""
+    return sm.build_features(_spoiled_review_lines(spark, sf_dir), sm.default_releases(spark), on_error="drop")
 
 
 def training_dropping_bad_lines(spark, sf_dir) -> DataFrame:
     """P9 under ``drop``: short lines and labels that are no number are left out."""
-    number = F.col("doc_id").cast("string")
-    line = F.concat(F.lit("text,TRUE,"), number, F.lit(",1.5"))
-    spoiled = _spoiled(line, "text,true,1", "text,true,1,one", "")
-    return sm.parse_training_lines(_table(spark, sf_dir, "documents").select(spoiled.alias("value")), on_error="drop")
+    return sm.parse_training_lines(_spoiled_training_lines(spark, sf_dir), on_error="drop")
+
+
+def rejected_records(spark, sf_dir) -> DataFrame:
+    """B1, B2, B3 under ``drop``, from file to file: the lines that each job leaves out, by rule and text.
+
+    From the jobs' quarantine folders; ``n_reported`` is what the job has told of the rule.
+    """
+    found = None
+    for job, lines in (
+        ("ingest", _spoiled_quoted_lines(spark, sf_dir)),
+        ("features", _spoiled_review_lines(spark, sf_dir)),
+        ("training", _spoiled_training_lines(spark, sf_dir)),
+    ):
+        source, target, bad = (shared_path(spark, f"{job}-{p}") for p in ("lines", "output", "rejected"))
+        sm.write_lines(lines, source)
+        told = {"on_error": "drop", "quarantine": bad, "report": {}}
+        run = {"ingest": sm.run_ingest, "features": sm.run_features, "training": sm.run_train}[job]
+        run(spark, source, target, **told, **({"blank_lines": "keep"} if job == "training" else {}))
+        reported = F.create_map(*[F.lit(x) for pair in told["report"].items() for x in pair])
+        one = sm.rejected_lines(spark, bad).groupBy("reason", "text").agg(F.count("*").alias("n"))
+        one = one.select(F.lit(job).alias("job"), "*", reported[F.col("reason")].cast("long").alias("n_reported"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def token_counts(spark, sf_dir) -> DataFrame:
@@ -386,6 +428,28 @@ def saved_model_against_unsaved(spark, sf_dir) -> DataFrame:
     return scored.agg(F.count("*").alias("n_documents"), F.count_if(differs).alias("n_different"))
 
 
+def replaced_model(spark, sf_dir) -> DataFrame:
+    """K4, K5: a model saved over another one; documents of each answer's version, and wrong ones.
+
+    The first is trained on the labels turned round. Documents are answered by what ``load_model`` finds
+    after each save, and by the first version, asked for by its name after the second.
+    """
+    rows, path = _training_rows(spark, sf_dir), shared_path(spark, "model")
+    turned, reviews = sm.train(rows.withColumn("label", 1 - F.col("label"))), _all_reviews(spark, sf_dir)
+    straight = sm.train(rows)
+    first = sm.save_model(turned, path)
+    answers = [("first save", turned, sm.load_model(path))]
+    sm.save_model(straight, path)
+    answers += [("second save", straight, sm.load_model(path)), ("first version", turned, sm.load_model(path, first))]
+    found = None
+    for name, model, loaded in answers:
+        expected = loaded.transform(model.transform(reviews).select("review", vector_to_array("probability")[1].alias("p")))
+        differs = ~vector_to_array("probability")[1].eqNullSafe(F.col("p"))
+        one = expected.agg(F.lit(name).alias("loaded"), F.count("*").alias("n_documents"), F.count_if(differs).alias("n_different"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def predictions_recomputed(spark, sf_dir) -> DataFrame:
     """M2, M3, M4, M6: every answer again, from the hashed counts joined with the fitted weights.
 
@@ -574,6 +638,7 @@ _QUERIES = [
     ingest_dropping_short_lines,
     features_dropping_bad_lines,
     training_dropping_bad_lines,
+    rejected_records,
     token_counts,
     term_frequencies,
     term_doc_freq,
@@ -587,6 +652,7 @@ _QUERIES = [
     fit_moments,
     fit_optimality,
     saved_model_against_unsaved,
+    replaced_model,
     predictions_recomputed,
     jobs_over_files,
     score_reviews,
@@ -855,20 +921,35 @@ WITH {_FEATURES} SELECT text, "afterRelease", CAST(version AS DOUBLE) AS version
         "training_rows": training_sql,
         "training_file": training_sql,
         "object_lines_with_blanks": """
-WITH firsts AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
-lines AS (SELECT line AS value FROM firsts UNION ALL SELECT line || chr(13) FROM firsts
-          UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM firsts)
-SELECT value, count(*) AS n FROM lines WHERE value <> '' GROUP BY value""",
+WITH bodies AS (
+  SELECT text || chr(10) || chr(10) || text || chr(13) || chr(10) || chr(10) || chr(10) || doc_id AS body FROM documents)
+SELECT value, count(*) AS n FROM (SELECT unnest(string_split(body, chr(10))) AS value FROM bodies) GROUP BY value""",
         "ingest_dropping_short_lines": f"""
 SELECT {_BODY} AS text, 'day' AS "date", 'neutral' AS sentiment FROM documents WHERE doc_id % 10 > 2""",
         "features_dropping_bad_lines": f"""
-WITH {_CAL}, rows AS (SELECT doc_id, CAST(strptime({_DATE}, '%b %d %Y') AS DATE) AS day FROM documents WHERE doc_id % 10 > 4)
-SELECT 'x' AS text, {_flag("day")} AS "afterRelease", CAST(doc_id AS VARCHAR) AS version,
+WITH {_CAL},
+lines AS (SELECT doc_id, {_DATE_TEXT} || ',' || doc_id || ',' || (doc_id % 5 + 1) || ',' || {_BODY} || ' ' AS line
+          FROM documents WHERE doc_id % 10 > 4),
+rows AS (SELECT doc_id, CAST(strptime({_DATE}, '%b %d %Y') AS DATE) AS day, {_trim("split_part(line, ',', 4)")} AS text FROM lines)
+SELECT text, {_flag("day")} AS "afterRelease", CAST(doc_id AS VARCHAR) AS version,
        CASE WHEN doc_id % 5 + 1 >= 3 THEN 1 ELSE 0 END AS label
-FROM rows""",
-        "training_dropping_bad_lines": """
-SELECT 'text' AS review, true AS "afterRelease", CAST(doc_id AS VARCHAR) AS version, CAST(1.5 AS DOUBLE) AS label
+FROM rows WHERE text <> ''""",
+        "training_dropping_bad_lines": f"""
+SELECT replace({_BODY}, ',', ';') AS review, true AS "afterRelease", CAST(doc_id AS VARCHAR) AS version,
+       CAST(doc_id % 2 AS DOUBLE) AS label
 FROM documents WHERE doc_id % 10 > 2""",
+        "rejected_records": """
+WITH spoiled(job, remainder, reason, text) AS (VALUES
+  ('ingest', 0, 'line has fewer than 4 fields', '"1","2","3"'), ('ingest', 1, 'line has fewer than 4 fields', ''),
+  ('ingest', 2, 'line has fewer than 4 fields', 'no separator'),
+  ('features', 0, 'line has fewer than 4 fields', 'mar 14 2016,1,4'),
+  ('features', 1, 'rating is not an integer', 'mar 14 2016,1,4.5,x'),
+  ('features', 2, 'not a MMM dd yyyy date', '14 mar 2016,1,4,x'),
+  ('features', 3, 'no releases known for the year of', 'mar 14 1999,1,4,x'),
+  ('training', 0, 'line has fewer than 4 fields', 'text,true,1'),
+  ('training', 1, 'label is not a number', 'text,true,1,one'), ('training', 2, 'line has fewer than 4 fields', ''))
+SELECT job, reason, spoiled.text AS text, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY job, reason) AS BIGINT) AS n_reported
+FROM spoiled JOIN documents ON doc_id % 10 = remainder GROUP BY job, reason, spoiled.text""",
         "token_counts": f"WITH {_TOKENS} SELECT doc_id, CAST(len(words) AS BIGINT) AS n_tokens FROM tokens",
         "term_frequencies": f"WITH {_TOKENS}, {_TF} SELECT doc_id, term, tf FROM tf",
         "term_doc_freq": f"""
@@ -899,6 +980,9 @@ SELECT bucket, round(mean, 6) AS mean, round(std, 6) AS std, round(label_moment,
 FROM moments UNION ALL SELECT -1, 1.0, 0.0, round(share, 6), true FROM n""",
         "fit_optimality": " UNION ALL ".join(f"SELECT * FROM ({_rows_and_features(v, w)})" for v, w in widths.items()),
         "saved_model_against_unsaved": none_different_sql,
+        "replaced_model": """
+SELECT loaded, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_different
+FROM documents, (VALUES ('first save'), ('second save'), ('first version')) v(loaded) GROUP BY loaded""",
         "predictions_recomputed": none_different_sql,
         "jobs_over_files": none_different_sql,
         "score_reviews": "SELECT doc_id, true AS message_is_right FROM documents",

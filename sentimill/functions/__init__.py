@@ -7,6 +7,7 @@ from .dates import (
     release_date,
     review_date,
 )
+from .policy import accepted, rejected, rejections
 from .text import (
     equals_ignore_case,
     leading_fields,
@@ -17,6 +18,7 @@ from .text import (
 )
 
 __all__ = [
+    "accepted",
     "capitalised",
     "equals_ignore_case",
     "leading_fields",
@@ -25,6 +27,8 @@ __all__ = [
     "parse_int",
     "raw_review_date",
     "raw_review_hour",
+    "rejected",
+    "rejections",
     "release_date",
     "review_date",
     "trim_controls",

@@ -1,11 +1,14 @@
 """The review classifier: tokens, hashed counts, IDF, logistic regression (M1-M6)."""
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.policy import LINE, REASON, marks
 from .text_stats import idf_weight
 
 # Training parameters.
@@ -50,7 +53,7 @@ def build_pipeline(
     )
 
 
-def fit(rows: DataFrame, **params) -> PipelineModel:
+def fit(rows: DataFrame, check: Callable[[DataFrame], DataFrame] | None = None, **params) -> PipelineModel:
     """Fit the pipeline on the distributed rows (M5).
 
     The same as ``build_pipeline(**params).fit(rows)``, but the text is read and
@@ -58,17 +61,24 @@ def fit(rows: DataFrame, **params) -> PipelineModel:
     executors' disks, since the regression keeps its own blocks in memory. A lost
     executor's part is computed again from the source. The kept rows stand in as
     many partitions as their work is worth, never more than they came in.
+
+    Rows that ``mark`` has kept are no rows to fit on: ``check`` gets the kept rows, marked ones
+    with their marks, before the fit, and returns those to fit on, from what is kept.
     """
     tokenizer, hashing, idf, regression = build_pipeline(**params).getStages()
     text_stages = PipelineModel([tokenizer, hashing])
-    hashed = text_stages.transform(rows.select("review", "label")).select(
-        "rawFeatures", F.col("label").cast("double").alias("label")
+    marked = marks(rows)
+    carried = [F.col(REASON), F.when(F.col(REASON).isNotNull(), F.col(LINE)).alias(LINE)] if marked else []
+    review = F.when(F.col(REASON).isNull(), F.col("review")).otherwise("") if marked else F.col("review")
+    hashed = text_stages.transform(rows.select(review.alias("review"), "label", *carried)).select(
+        "rawFeatures", F.col("label").cast("double").alias("label"), *marked
     )
     hashed.persist(StorageLevel.DISK_ONLY)
     try:
-        work = hashed.agg(F.sum(F.size(F.unwrap_udt("rawFeatures")["indices"]))).first()[0] or 0
+        given = check(hashed) if check else hashed
+        work = given.agg(F.sum(F.size(F.unwrap_udt("rawFeatures")["indices"]))).first()[0] or 0
         parts = max(1, int(work // (WORK_PER_FEATURE * hashing.getNumFeatures())))
-        fitted = Pipeline(stages=[idf, regression]).fit(hashed.coalesce(parts))
+        fitted = Pipeline(stages=[idf, regression]).fit(given.coalesce(parts))
     finally:
         hashed.unpersist()
     return PipelineModel([tokenizer, hashing, *fitted.stages])

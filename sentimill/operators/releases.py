@@ -38,7 +38,7 @@ def default_releases(spark: SparkSession) -> DataFrame:
 
 def read_releases(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
     """Calendar from text files with one ``M/d/yyyy`` date per line; blank lines are skipped (S3)."""
-    check_policy(on_error)
+    check_policy(on_error, ("fail", "drop"))
     text = F.trim("value")
     releases = spark.read.text(path).filter(text != "").select(release_date(text).alias("release"), "value")
     return settle(releases, [("release", "not a M/d/yyyy release date", "value")], on_error).select("release")

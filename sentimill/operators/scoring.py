@@ -3,7 +3,7 @@
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.policy import settle
+from ..functions.policy import check_policy, settle
 from ..functions.text import _col
 
 
@@ -30,6 +30,7 @@ def score(model: PipelineModel, reviews: DataFrame, on_error: str = "fail") -> D
     All columns of ``reviews``, such as a key or a known label, pass through as
     they are. A null review ends the job with an error or, under ``drop``, is left out.
     """
+    check_policy(on_error, ("fail", "drop"))
     rows = reviews.select("review", F.struct("*").alias("_given"))
     rows = settle(rows, [("review", "review without a text", "review")], on_error)
     return model.transform(with_defaults(rows)).select(

@@ -1,15 +1,14 @@
 """Feature job: review lines and a release calendar to feature rows."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import raw_review_date, raw_review_hour, review_date
-from ..functions.policy import check_policy, settle
+from ..functions.policy import check_policy, marks, settle
 from ..operators.labels import rating_label, sentiment_label
 from ..operators.parse import parse_review_lines, with_body
 from ..operators.releases import default_releases, with_after_release
 from ..operators.render import feature_line
-from ..sources.lines import read_object_lines, has_blank_lines_at_end_only, write_lines
+from .outcome import object_lines, write_outcome
 
 FEATURE_COLUMNS = ("text", "afterRelease", "version", "label")
 
@@ -29,13 +28,14 @@ def build_features(
         rating_label("rating", "drop").alias("label"),
         F.col("date").alias("_date"),
         review_date("date").alias("date"),
+        *marks(reviews),
     )
     checks = [
         ("label", "rating is not an integer", "rating"),
         ("date", "not a MMM dd yyyy date", "_date"),
     ]
     flagged = with_after_release(settle(typed, checks, on_error), releases, on_error=on_error)
-    return flagged.select(*FEATURE_COLUMNS)
+    return flagged.select(*FEATURE_COLUMNS, *marks(flagged))
 
 
 def build_features_legacy(
@@ -52,10 +52,11 @@ def build_features_legacy(
         sentiment_label("sentiment").alias("label"),
         F.col("date").alias("_date"),
         raw_review_date(F.col("date")).alias("date"),
+        *marks(basic),
     )
     checks = [(c, "not a d/M/yyyy HH:mm:ss date", "_date") for c in ("version", "date")]
     flagged = with_after_release(settle(typed, checks, on_error), releases, on_error=on_error)
-    return flagged.select(*FEATURE_COLUMNS)
+    return flagged.select(*FEATURE_COLUMNS, *marks(flagged))
 
 
 def run_features(
@@ -66,29 +67,16 @@ def run_features(
     blank_lines: str = "inner",
     on_error: str = "fail",
     mode: str = "errorifexists",
+    quarantine: str | None = None,
+    report: dict | None = None,
 ) -> None:
-    """Files to files; the only exchange is the broadcast of the calendar's days.
+    """Files to files in one scan; the only exchange is the broadcast of the calendar's days.
 
     With ``blank_lines="inner"`` an empty line is a malformed one unless nothing but empty
-    lines follows in its file. Files without empty lines are read once: all lines
-    count at first, and only when that fails it is looked up where empty lines stand.
+    lines follows in its file. See ``write_outcome`` for the last three arguments, and for how the
+    output is published.
     """
-    check_policy(on_error)
+    check_policy(on_error, ("fail", "drop"))
     calendar = default_releases(spark) if releases is None else releases
-
-    def write(blank_lines: str, mode: str) -> None:
-        lines = read_object_lines(spark, source, blank_lines)
-        features = build_features(lines, calendar, on_error=on_error)
-        write_lines(features.select(feature_line().alias("value")), target, mode)
-
-    if blank_lines != "inner":
-        return write(blank_lines, mode)
-    try:
-        write("keep", mode)
-    except AnalysisException:  # such as a target that exists
-        raise
-    except Exception:
-        if not has_blank_lines_at_end_only(spark, source):
-            raise
-        # The failed attempt may have made the folder.
-        write("skip", "append" if mode == "append" else "overwrite")
+    features = build_features(object_lines(spark, source, blank_lines), calendar, on_error="mark")
+    write_outcome(features, feature_line(), target, on_error, mode, quarantine, report)

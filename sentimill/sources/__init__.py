@@ -7,10 +7,11 @@ from .lines import (
     read_training_rows,
     write_lines,
 )
-from .records import load_model, read_records, save_model, spread, write_records
+from .records import load_model, model_version, read_records, save_model, spread, write_records
 
 __all__ = [
     "load_model",
+    "model_version",
     "read_header_csv",
     "read_lines",
     "read_object_lines",

@@ -4,10 +4,22 @@ Paths are anything Spark's file systems reach; large files are read in splits by
 many tasks, and sinks write one part per task.
 """
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.policy import LINE, REASON
 from ..operators.parse import parse_training_lines
+from ..session import shared_path
+
+# The function that tasks run goes to them whole: executors need not have this package.
+register_pickle_by_value(sys.modules[__name__])
 
 BLANK_LINES = ("inner", "skip", "keep")
 
@@ -23,73 +35,107 @@ def read_object_lines(
     """One row ``value`` per line; only ``\\n`` ends a line, a ``\\r`` stays.
 
     ``blank_lines``: ``inner`` keeps empty lines except those after the last text
-    of a file, and scans the files again to tell which these are. ``skip`` leaves
-    all empty lines out and ``keep`` keeps all; both take a single scan. They
-    agree on files without empty lines.
+    of a file. ``skip`` leaves all empty lines out and ``keep`` keeps all. They
+    agree on files without empty lines. ``skip`` and ``keep`` are plain lazy scans;
+    ``inner`` scans the files once, now, into the shared folder (see ``shared_path``), since
+    only the end of a file's last split tells which lines these are. The jobs, which write
+    anyway, do without that copy.
     """
     if blank_lines not in BLANK_LINES:
         raise ValueError(f"blank_lines must be one of {BLANK_LINES}, not {blank_lines!r}")
+    if blank_lines == "inner":
+        staged = shared_path(spark, "object-lines")
+        scan_object_lines(spark, path).write.parquet(staged)
+        scanned = spark.read.schema(_SCANNED).parquet(staged)
+        lines = scanned.filter(F.col(REASON).isNull()).select("value")
+        return lines.unionByName(held_blank_lines(split_states(scanned)))
     lines = spark.read.option("lineSep", "\n").text(path)
-    if blank_lines == "keep":
-        return lines
-    text = lines.filter(F.col("value") != "")
-    if blank_lines == "skip":
-        return text
+    return lines if blank_lines == "keep" else lines.filter(F.col("value") != "")
+
 
-    return text.unionByName(_inner_blank_lines(lines))
+# The mark of rows that stand for the end of a split, not for a line.
+SPLIT = "end of a split"
 
+_SCANNED = f"value string, {REASON} string, {LINE} string"
+_STATE = "file long, start long, blanks long, text boolean"
 
-# Rows made from one array when blank lines are written out again.
+# Blank lines written out at once.
 _CHUNK = 10_000
 
 
-def _inner_blank_lines(lines: DataFrame) -> DataFrame:
-    """The empty lines of ``lines`` that have text after them in their file.
+def scan_object_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All lines up to the last text of each file split, and one row for the split's end, in one scan.
 
-    Works on one row per file split, combined before the shuffle: row ids are
-    consecutive within a split, so the distance from the last text to the last
-    row is the number of blank lines at its end.
+    Line rows have ``value``. End rows are marked ``SPLIT`` and hold, as JSON in the place of
+    the line, the split's place, the number of blank lines after its last text, and whether it has
+    any text. Operators pass marked rows on, so both can go through a job's one pass, and the
+    splits' rows, a small table, tell afterwards which blank lines at a split's end stand
+    inside their file.
     """
-    row = F.monotonically_increasing_id()
-    splits = (
-        lines.select(
-            (F.col("value") == "").alias("blank"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            row.alias("row"),
-        )
-        .groupBy("file", "split")
-        .agg(
-            F.count_if("blank").alias("n_blank"),
-            F.max("row").alias("last_row"),
-            F.max(F.when(~F.col("blank"), F.col("row"))).alias("last_text"),
-        )
-    )
-    at_end = F.col("last_row") - F.col("last_text")
-    tails = (
-        splits.filter(F.col("last_text").isNotNull())
-        .groupBy("file")
-        .agg(F.max(F.struct(F.col("split"), at_end.alias("n"))).alias("tail"))
-    )
-    n_inner = F.when(F.col("split") < F.col("tail.split"), F.col("n_blank")).when(
-        F.col("split") == F.col("tail.split"), F.col("n_blank") - F.col("tail.n")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    placed = lines.select(
+        "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
+    return placed.mapInArrow(_held_back, _SCANNED)
+
+
+def _held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines as they come, but blank ones only when text follows in their split."""
+    split, blanks, text = None, 0, False
+    for batch in batches:
+        value, file, start = batch.columns
+        places = np.stack([file.to_numpy(), start.to_numpy()])
+        edges = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1
+        filled = pc.not_equal(value, "").to_numpy(zero_copy_only=False)
+        for low, high in zip([0, *edges], [*edges, batch.num_rows]):
+            if low == high:
+                continue
+            here = tuple(int(x) for x in places[:, low])
+            if here != split:
+                if split:
+                    yield _end_of(split, blanks, text)
+                split, blanks, text = here, 0, False
+            found = np.flatnonzero(filled[low:high])
+            if not len(found):
+                blanks += int(high - low)
+                continue
+            for at in range(0, blanks, _CHUNK):
+                yield _line_batch(pa.array([""] * min(_CHUNK, blanks - at), pa.string()))
+            after = low + int(found[-1]) + 1
+            yield _line_batch(value.slice(low, after - low).cast(pa.string()))
+            blanks, text = int(high - after), True
+    if split:
+        yield _end_of(split, blanks, text)
+
+
+def _line_batch(values: pa.Array) -> pa.RecordBatch:
+    nothing = pa.nulls(len(values), pa.string())
+    return pa.RecordBatch.from_arrays([values, nothing, nothing], ["value", REASON, LINE])
+
+
+def _end_of(split: tuple[int, int], blanks: int, text: bool) -> pa.RecordBatch:
+    state = f'{{"file":{split[0]},"start":{split[1]},"blanks":{blanks},"text":{str(text).lower()}}}'
+    columns = [pa.array([x], pa.string()) for x in (None, SPLIT, state)]
+    return pa.RecordBatch.from_arrays(columns, ["value", REASON, LINE])
+
+
+def split_states(scanned: DataFrame) -> DataFrame:
+    """``file, start, blanks, text`` of the end rows of a scanned, or marked, frame."""
+    ends = scanned.filter(F.col(REASON) == SPLIT)
+    return ends.select(F.from_json(LINE, _STATE).alias("s")).select("s.*")
+
+
+def held_blank_lines(states: DataFrame) -> DataFrame:
+    """``value``: the blank lines at the end of a split with text in a later split of its file."""
+    last = states.filter("text").groupBy("file").agg(F.max("start").alias("_last"))
+    held = states.filter("blanks > 0").join(last, "file").filter(F.col("start") < F.col("_last"))
     return (
-        splits.join(tails, "file")
-        .select(n_inner.alias("n"))
-        .filter(F.col("n") > 0)
-        .select("n", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(_CHUNK).cast("long"))).alias("at"))
-        .select(F.least(F.lit(_CHUNK), F.col("n") - F.col("at") + 1).cast("int").alias("n"))
+        held.select("blanks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blanks") - 1, F.lit(_CHUNK).cast("long"))).alias("at"))
+        .select(F.least(F.lit(_CHUNK), F.col("blanks") - F.col("at")).cast("int").alias("n"))
         .select(F.explode(F.array_repeat(F.lit(""), F.col("n"))).alias("value"))
     )
 
 
-def has_blank_lines_at_end_only(spark: SparkSession, path: str | list[str]) -> bool:
-    """Are there empty lines, and none of them before the last text of its file?"""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return not lines.filter(F.col("value") == "").isEmpty() and _inner_blank_lines(lines).isEmpty()
-
-
 def read_training_rows(
     spark: SparkSession, path: str | list[str], blank_lines: str = "inner", on_error: str = "fail"
 ) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from .publish import current_version, new_version, publish_version
+
 
 def write_records(
     df: DataFrame, path: str, file_format: str = "parquet", mode: str = "errorifexists"
@@ -33,11 +35,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Save a fitted pipeline, replacing an earlier one (K4)."""
-    model.write().overwrite().save(path)
+# Former versions of a model that stay when a new one is published.
+KEPT_VERSIONS = 2
+
+
+def save_model(model: PipelineModel, path: str, keep: int = KEPT_VERSIONS) -> str:
+    """Save a fitted pipeline under ``path``, in the place of an earlier one (K4). Returns its version.
+
+    The model is written whole to a folder of its own; then the small file that names the current
+    version is replaced. Whoever loads meanwhile gets the former model or the new one, and a save that
+    stops half-way leaves the former. ``keep`` former versions stay.
+    """
+    spark, version = SparkSession.active(), new_version()
+    model.write().save(f"{path.rstrip('/')}/{version}")
+    publish_version(spark, path, version, keep)
+    return version
 
 
-def load_model(path: str) -> PipelineModel:
-    """Load a fitted pipeline (K5)."""
-    return PipelineModel.load(path)
+def model_version(path: str) -> str | None:
+    """The version that ``load_model`` would load now; None for a folder without versions."""
+    return current_version(SparkSession.active(), path)
+
+
+def load_model(path: str, version: str | None = None) -> PipelineModel:
+    """Load the current version of a fitted pipeline, or the one asked for (K5).
+
+    A folder without versions is loaded as Spark's own model folder.
+    """
+    version = version or model_version(path)
+    return PipelineModel.load(f"{path.rstrip('/')}/{version}" if version else path)
