@@ -384,6 +384,30 @@ def idf_hashed_wide(spark, sf_dir) -> DataFrame:
     return wide.withColumn("idf", F.round("idf", 6))
 
 
+def _document_batches(spark, sf_dir) -> list[DataFrame]:
+    docs = _documents(spark, sf_dir)
+    return [docs.filter(F.pmod("doc_id", F.lit(3)) == i) for i in range(3)]
+
+
+def idf_of_merged_state(spark, sf_dir) -> DataFrame:
+    """M3 from a table of states that three batches of documents were added to, the second one twice."""
+    path = shared_path(spark, "bucket-states")
+    for i, docs in enumerate(_document_batches(spark, sf_dir)):
+        for _ in range(2 if i == 1 else 1):
+            sm.add_to_state(sm.bucket_state(docs), path, f"batch-{i}")
+    return sm.idf_of(sm.read_state(spark, path)).withColumn("idf", F.round("idf", 6))
+
+
+def term_doc_freq_of_merged_state(spark, sf_dir) -> DataFrame:
+    """A5 from a table of states: two batches compacted, and a third one merged with them."""
+    path, compacted = shared_path(spark, "term-states"), shared_path(spark, "term-states")
+    first, second, third = _document_batches(spark, sf_dir)
+    sm.add_to_state(sm.term_state(first), path, "first")
+    sm.add_to_state(sm.term_state(second), path, "second")
+    sm.compact_state(spark, path, compacted)
+    return sm.term_frequencies_of(sm.merged_state(sm.read_state(spark, compacted), sm.term_state(third)))
+
+
 def _message_is_wrong() -> Column:
     word = F.when(F.col("prediction") == 1.0, "positive").when(F.col("prediction") == 0.0, "negative")
     return ~F.col("message").eqNullSafe(F.concat(F.lit("Sentiment is "), word))
@@ -575,8 +599,8 @@ def _stream_scored(spark, sf_dir, model) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
     # A stream reads folders; the name of a single file is a pattern for itself alone.
-    files = spark.read.parquet(path).select(F.input_file_name()).distinct().limit(2).collect()
-    single = len(files) == 1 and files[0][0].rstrip("/").endswith("/documents.parquet")
+    files = spark.read.parquet(path).inputFiles()
+    single = len(files) == 1 and files[0].rstrip("/").endswith("/documents.parquet")
     escaped = "".join(f"[{c}]" if c in "*?[]{}" else c for c in path)
     source = f"{escaped[:-1]}[{escaped[-1]}]" if single else path
     stream = (
@@ -613,6 +637,52 @@ def stream_against_batch(spark, sf_dir) -> DataFrame:
     )
 
 
+def stream_features(spark, sf_dir) -> DataFrame:
+    """B2, S3, J1 on a stream: review lines that arrive in two rounds, with a calendar read in each.
+
+    The documents with an even number come in the first round, the others in the second.
+    """
+    lines, calendar, target, checkpoint = (
+        shared_path(spark, p) for p in ("arriving-lines", "calendar", "streamed-features", "features-checkpoint")
+    )
+    sm.write_lines(sm.default_releases(spark).select(F.date_format("release", "M/d/yyyy")), calendar)
+    rated = _rated(spark, sf_dir)
+    rating = F.when(F.col("quality") == 1, F.col("doc_id") % 3 + 3).otherwise(F.col("doc_id") % 2 + 1)
+    for remainder in (0, 1):
+        arriving = rated.filter(F.pmod("doc_id", F.lit(2)) == remainder)
+        sm.write_lines(_review_lines(arriving, rating, _one_line()), lines, mode="append")
+        sm.run_features_stream(spark, lines, calendar, target, checkpoint)
+    return spark.read.text(target).select(F.col("value").alias("line"))
+
+
+def stream_score_rounds(spark, sf_dir) -> DataFrame:
+    """A model published between two rounds; answers of each round, and those not of its model.
+
+    The second round's documents, with an odd number, are to be answered by the second model, which
+    is trained on the labels turned round.
+    """
+    rows, reviews = _training_rows(spark, sf_dir), _all_reviews(spark, sf_dir)
+    models, arriving, target, checkpoint = (
+        shared_path(spark, p) for p in ("model", "arriving-reviews", "scored-rounds", "rounds-checkpoint")
+    )
+    expected, found = [], None
+    for remainder, name in ((0, "first"), (1, "second")):
+        turned = F.col("label") if remainder == 0 else 1 - F.col("label")
+        model = sm.train(rows.withColumn("label", turned))
+        sm.save_model(model, models)
+        reviews.filter(F.pmod("doc_id", F.lit(2)) == remainder).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(reviews.schema).parquet(arriving)
+        expected.append((name, sm.run_score_round(spark, models, stream, target, checkpoint), model))
+    scored = spark.read.parquet(target)
+    for name, version, model in expected:
+        again = sm.score(model, scored.select("doc_id", "review", "model_version", F.col("message").alias("given")))
+        own = again.filter((F.pmod("doc_id", F.lit(2)) == (0 if name == "first" else 1)))
+        wrong = (F.col("model_version") != version) | (F.col("message") != F.col("given"))
+        one = own.agg(F.lit(name).alias("round"), F.count("*").alias("n_documents"), F.count_if(wrong).alias("n_wrong"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 _QUERIES = [
     ingest_quoted_lines,
     ingested_files,
@@ -646,6 +716,8 @@ _QUERIES = [
     hashed_tf,
     idf_hashed,
     idf_hashed_wide,
+    idf_of_merged_state,
+    term_doc_freq_of_merged_state,
     train_and_score,
     train_default_variant,
     training_loss,
@@ -659,6 +731,8 @@ _QUERIES = [
     score_messages,
     stream_score,
     stream_against_batch,
+    stream_score_rounds,
+    stream_features,
 ]
 
 
@@ -964,6 +1038,13 @@ SELECT doc_id, term, tf, df, round(idf, 6) AS idf, round(tf * idf, 6) AS tf_idf
         "hashed_tf": f"WITH RECURSIVE {_buckets(1000)} SELECT doc_id, bucket, tf FROM cells",
         "idf_hashed": _idf_of_buckets(1000),
         "idf_hashed_wide": _idf_of_buckets(sm.DEFAULT_PARAMS["num_features"]),
+        "idf_of_merged_state": _idf_of_buckets(1000),
+        "term_doc_freq_of_merged_state": f"""
+WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM pairs GROUP BY term""",
+        "stream_features": feature_lines_sql,
+        "stream_score_rounds": """
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS round, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_wrong
+FROM documents GROUP BY 1""",
         "score_messages": f"""
 WITH {_LABELLED}
 SELECT doc_id, false AS "afterRelease", '0' AS version, CAST(0 AS DOUBLE) AS label,

@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.policy import LINE, REASON
+from ..functions.policy import LINE, REASON, check_policy, computed_once
 from ..operators.parse import parse_training_lines
 from ..session import shared_path
 
@@ -143,15 +143,49 @@ def read_training_rows(
     return parse_training_lines(read_object_lines(spark, path, blank_lines), on_error=on_error)
 
 
+# Lines that the types of a CSV are taken from.
+SAMPLE_LINES = 1_000
+
+_UNFIT = "_unfit"
+
+
 def read_header_csv(
-    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, **options
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | str | None = None,
+    sample_lines: int = SAMPLE_LINES,
+    on_error: str = "fail",
+    **options,
 ) -> DataFrame:
-    """CSV with a header line, UTF-8 (S5). Without ``schema`` the types are inferred,
-    which costs one more scan of the files. ``options`` go to Spark's reader.
+    """CSV with a header line in each file, UTF-8 (S5). ``options`` go to Spark's reader.
+
+    Without ``schema`` the types are those of the first ``sample_lines`` lines, and the one whole
+    scan holds all lines to them: a line with a value of another type, or with too many or too few
+    fields, ends the job with an error that quotes it, or is left out under ``drop``. Give
+    the schema where a column's type shows late. With a schema of your own, Spark's options decide.
     """
+    check_policy(on_error, ("fail", "drop"))
     reader = spark.read.options(**options).option("header", True).option("encoding", "UTF-8")
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema:
+        return reader.schema(schema).csv(path)
+    sampled = [r[0] for r in spark.read.text(path).limit(sample_lines).collect()]
+    # Several files, several headers.
+    lines = sampled[:1] + [x for x in sampled if x != sampled[0]]
+    sample = shared_path(spark, "csv-sample")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(sample)
+    types = reader.option("inferSchema", True).csv(sample).schema
+    rows = (
+        reader.option("inferSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _UNFIT)
+        .schema(StructType([*types.fields, StructField(_UNFIT, StringType())]))
+        .csv(path)
+    )
+    fits = F.col(_UNFIT).isNull()
+    if on_error == "fail":
+        error = F.raise_error(F.concat(F.lit("line doesn't fit the types of the first ones: "), F.substring(_UNFIT, 1, 200)))
+        fits = F.when(fits, True).otherwise(error.cast("boolean"))
+    return computed_once(rows, fits).drop(_UNFIT)
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:

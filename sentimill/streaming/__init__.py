@@ -1,5 +1,6 @@
 """Structured Streaming jobs."""
 
-from .score_stream import score_stream
+from .feature_stream import features_stream, run_features_stream
+from .score_stream import run_score_round, score_stream
 
-__all__ = ["score_stream"]
+__all__ = ["features_stream", "run_features_stream", "run_score_round", "score_stream"]
