@@ -86,8 +86,22 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """``conv_id, target_start, target_end``: one example for each turn that is trained on."""
-    return formatted.filter("target_start is not null").select("conv_id", "target_start", "target_end")
+    """``conv_id, start, target_start, target_end``: one example for each turn that is trained on.
+
+    Its context is the conversation's first ``target_start`` characters, its target goes on to
+    ``target_end``, in the turn that begins at ``start``.
+    """
+    return formatted.filter("target_start is not null").select("conv_id", "start", "target_start", "target_end")
+
+
+def example_targets(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
+    """``conv_id, start, target``: of each example the unescaped text under its loss mask, read from the formatted text."""
+    example = expanded.select(
+        F.col("conv_id").alias("_conv_id"), F.col("start").alias("_start"), F.col("target_start").alias("_from"), F.col("target_end").alias("_to")
+    )
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("start") == F.col("_start"))
+    target = F.substr("formatted", (F.col("_from") - F.col("start") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int"))
+    return formatted.select("conv_id", "start", "formatted").join(example, same).select("conv_id", "start", unescape(target).alias("target"))
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:
@@ -106,24 +120,15 @@ def example_texts(formatted: DataFrame) -> DataFrame:
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
-    """``conv_id, start, role, text, target, n_chars`` parsed from the formatted text.
-
-    ``target`` is the unescaped text under the loss mask, null where there is none.
-    """
+    """``conv_id, start, role, text, n_chars`` parsed from the formatted text."""
     header = F.regexp_extract("formatted", r"\A### ([^\n]*):\n", 1)
     body_start = F.length(header) + len(HEADER) + len(HEADER_END)
     body = F.substr("formatted", body_start + 1, F.length("formatted") - body_start - len(TURN_END))
-    target = F.substr(
-        "formatted",
-        (F.col("target_start") - F.col("start") + 1).cast("int"),
-        (F.col("target_end") - F.col("target_start")).cast("int"),
-    )
     return formatted.select(
         "conv_id",
         "start",
         _unescape_role(header).alias("role"),
         unescape(body).alias("text"),
-        unescape(target).alias("target"),
         F.length("formatted").alias("n_chars"),
     )
 
@@ -133,10 +138,10 @@ _DIGESTS = (
 )
 
 
-def conversation_digests(formatted: DataFrame) -> DataFrame:
+def conversation_digests(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, read back.
 
-    A digest takes its turns one after another, so those of a conversation pass
+    The turns are those of the formatted text, the loss that of the examples in ``expanded``. A digest takes its turns one after another, so those of a conversation pass
     through one task; it holds the state of one digest and a batch of turns.
     """
 
@@ -151,22 +156,27 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
             done.append((current, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            for conv_id, _, role, text, target, n_chars in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv_id, _, example, role, text, n_chars in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or conv_id != current:
                     if state is not None:
                         finish()
                     current, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if target is not None:
-                    state[2] += len(target)
-                    state[3].update(target.encode())
-                state[4] += n_chars
+                if example:
+                    state[2] += len(text)
+                    state[3].update(text.encode())
+                else:
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    state[4] += n_chars
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in done], schema=schema)
             done.clear()
         if state is not None:
             finish()
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in done], schema=schema)
 
-    rows = read_turns(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "start")
+    turns = read_turns(formatted).select("conv_id", "start", F.lit(False).alias("example"), "role", "text", "n_chars")
+    targets = example_targets(formatted, expanded).select(
+        "conv_id", "start", F.lit(True), F.lit(""), "target", F.lit(0)
+    )
+    rows = turns.union(targets).repartition("conv_id").sortWithinPartitions("conv_id", "start", "example")
     return rows.mapInArrow(digest, _DIGESTS)

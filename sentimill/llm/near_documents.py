@@ -135,18 +135,19 @@ def _arrow(columns: list, types: list, names: list[str]) -> pa.RecordBatch:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, class, registers``; the class is null for empty sets."""
+    """``doc_id, text_hash, n_shingles, class, registers``; the class is null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "class", "registers"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["doc_id", "text_hash", "n_shingles", "class", "registers"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            for first, sets in _sets(batch.column(1).to_pylist(), shingle):
+            for first, sets in _sets(batch.column(2).to_pylist(), shingle):
                 filled = [i for i, s in enumerate(sets) if len(s)]
                 signed = dict(zip(filled, registers([sets[i] for i in filled])))
                 yield _arrow(
                     [
                         batch.column(0).slice(first, len(sets)),
+                        batch.column(1).slice(first, len(sets)),
                         [len(s) for s in sets],
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                         [signed[i].tobytes() if i in signed else None for i in range(len(sets))],
@@ -155,8 +156,13 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     names,
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return texts.mapInArrow(sign, "doc_id long, n_shingles long, class binary, registers binary")
+    texts = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), whole_text().alias("text"))
+    return texts.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, class binary, registers binary")
+
+
+def _text_hash() -> Column:
+    """Tells rows of one ``doc_id`` apart, those without one among them."""
+    return F.xxhash64(whole_text())
 
 
 def _class_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -168,13 +174,14 @@ def _class_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
             for first, sets in _sets(batch.column(0).to_pylist(), shingle):
                 data = [s.tobytes() for s in sets]
                 found = [hashlib.blake2b(d, digest_size=16).digest() for d in data]
-                # A repeated doc_id may belong to several classes.
+                # Texts of one hash may belong to several classes.
                 keep = [i for i, c in enumerate(found) if c == wanted[first + i]]
                 yield _arrow([[found[i] for i in keep], [data[i] for i in keep]], [pa.binary()] * 2, ["class", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    of_class = classes.select("doc_id", "class")
-    found = texts.join(of_class, texts["doc_id"].eqNullSafe(of_class["doc_id"])).select("text", "class")
+    texts = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), whole_text().alias("text"))
+    of_class = classes.select("doc_id", "text_hash", "class")
+    same = texts["doc_id"].eqNullSafe(of_class["doc_id"]) & (texts["text_hash"] == of_class["text_hash"])
+    found = texts.join(of_class, same).select("text", "class")
     sets = found.mapInArrow(collect, "class binary, shingles binary")
     return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
@@ -336,17 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     ``component_id`` is the smallest ``doc_id`` that links reach, and ``kept`` marks it.
     """
-    signed = written(signatures(docs, shingle), "signatures")
-    classes = written(
-        signed.filter("class is not null")
-        .groupBy("class")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")),
-        "classes",
-    )
-    links = _links(docs, classes, percent, shingle)
-    roots = connected_components(links).select(F.col("node").alias("class"), "root")
-    of_class = classes.select("class", "doc_id").join(roots, "class", "left")
-    of_class = of_class.select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    signed, of_class = _components(docs, percent, shingle)
     smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     answers = of_class.join(smallest, "root").select("class", "component_id")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -358,6 +355,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     )
 
 
+def _components(docs: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and ``class, doc_id, root`` of each class with its smallest id."""
+    signed = written(signatures(docs, shingle), "signatures")
+    classes = written(
+        signed.filter("class is not null")
+        .groupBy("class")
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("of"),
+            F.first("n_shingles").alias("n"),
+            F.first("registers").alias("registers"),
+        )
+        .select("class", "of.doc_id", "of.text_hash", "n", "registers"),
+        "classes",
+    )
+    links = _links(docs, classes, percent, shingle)
+    roots = connected_components(links).select(F.col("node").alias("class"), "root")
+    of_class = classes.select("class", "doc_id").join(roots, "class", "left")
+    return signed, of_class.select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+
+
 def _links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Verified links ``a, b`` between classes that connect the same classes as all links do."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
@@ -391,17 +408,19 @@ def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b")
 
 
-def document_key() -> Column:
-    """What names a row: its ``doc_id``, or its text where that is null."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha2(whole_text(), 256)))
-
-
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` with all their columns, one of each component.
 
-    Of rows that repeat a ``doc_id``, or have none and the same text, one stays.
+    That is the row of the smallest ``doc_id``, a null last, then of the smallest hash of the text; of rows
+    alike in both one stays, whichever. So unlike texts under one ``doc_id``, or under none, both
+    stay. Rows without words are linked with nothing: all stay.
     """
-    kept = near_duplicates(docs, percent, shingle).filter("kept").select("doc_id").distinct()
-    keyed = docs.withColumn("_document", document_key())
-    same = keyed["doc_id"].cast("long").eqNullSafe(kept["doc_id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_document"]).drop("_document")
+    signed, of_class = _components(docs, percent, shingle)
+    placed = signed.filter("class IS NOT NULL").join(of_class.select("class", "root"), "class")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("of")
+    kept = placed.groupBy("root").agg(first).select(F.col("of.doc_id").alias("_kept_id"), F.col("of.text_hash").alias("_kept_hash"))
+    hashed = docs.withColumns({"_near_id": F.col("doc_id").cast("long"), "_near_hash": _text_hash()})
+    has_words = whole_text().rlike(r"[^\x20\x09-\x0D]")
+    same = F.col("_near_id").eqNullSafe(F.col("_kept_id")) & (F.col("_near_hash") == F.col("_kept_hash"))
+    chosen = hashed.filter(has_words).join(kept, same, "left_semi").dropDuplicates(["_near_id", "_near_hash"])
+    return chosen.select(*docs.columns).unionByName(docs.filter(~has_words))

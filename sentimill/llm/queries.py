@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .chat import conversation_digests, format_turns
+from .chat import conversation_digests, examples, format_turns
 from .common import table, written
 from .fuzzy_lines import repeated_lines
 from .hard_negatives import hard_negatives
@@ -72,12 +72,13 @@ _CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation and number -7, formatted, written, read back and digested."""
+    """Every conversation and number -7, formatted and expanded to examples, written, read back and digested."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
         [(-7, 0, "user", _CONTROL_TEXT), (-7, 1, "assistant", _CONTROL_TEXT)], turns.schema
     )
-    return conversation_digests(written(format_turns(turns.unionByName(extra)), "formatted"))
+    formatted = written(format_turns(turns.unionByName(extra)), "formatted")
+    return conversation_digests(formatted, written(examples(formatted), "examples"))
 
 
 def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sentimill.llm import chat, mixing, queries
-from sentimill.llm.chat import conversation_digests, example_texts, examples, format_turns, read_turns
+from sentimill.llm.chat import conversation_digests, example_targets, example_texts, examples, format_turns, read_turns
 from sentimill.llm.mixing import mix_sources, mixed_documents
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -19,6 +19,11 @@ def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def digests(turns):
+    formatted = format_turns(turns)
+    return conversation_digests(formatted, examples(formatted))
+
+
 def test_query_7_against_brute_force(spark):
     got = {r["conv_id"]: r for r in queries.op7_prefix_target_chat(spark, SF_DIR).collect()}
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select(*[c.split()[0] for c in TURNS.split(", ")]).collect()]
@@ -46,7 +51,8 @@ def test_any_text_comes_back(spark, turns):
     formatted = format_turns(rows)
     back = sorted(read_turns(formatted).collect(), key=lambda r: r["start"])
     assert [(r["role"], r["text"]) for r in back] == turns
-    assert [r["target"] for r in back] == [t if role == "assistant" else None for role, t in turns]
+    targets = {r["start"]: r["target"] for r in example_targets(formatted, examples(formatted)).collect()}
+    assert [targets.get(r["start"]) for r in back] == [t if role == "assistant" else None for role, t in turns]
     whole = "".join(r["formatted"] for r in sorted(formatted.collect(), key=lambda r: r["start"]))
     # Outside texts, the end of a turn stands nowhere but where a turn ends.
     import re
@@ -71,11 +77,24 @@ def test_an_example_for_each_assistant_turn(spark, monkeypatch):
 def test_odd_turns(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "late"), (None, 5, "assistant", "x"), (2, 1, "assistant", "y" * 200_000)]
     odd = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit("own") for c in ("start", "formatted", "_key", "before")})
-    got = {r["conv_id"]: r for r in conversation_digests(format_turns(odd)).collect()}
+    got = {r["conv_id"]: r for r in digests(odd).collect()}
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 3, None: 1, 2: 1}
     assert got[1]["turns_sha256"] == digest("user\n\nuser\n\n\nlate\n") and got[1]["loss_chars"] == 0
     assert got[2]["loss_sha256"] == digest("y" * 200_000)
-    assert conversation_digests(format_turns(spark.createDataFrame([], TURNS))).count() == 0
+    assert digests(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_the_loss_is_that_of_the_examples(spark):
+    """Without an example its reply is in no loss, though its turn is there."""
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "assistant", "second")], TURNS)
+    formatted = format_turns(rows)
+    expanded = examples(formatted)
+    assert expanded.count() == 2
+    last = expanded.filter(F.col("target_start") > 40)
+    [r] = conversation_digests(formatted, last).collect()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (3, 6, digest("second"))
+    [r] = conversation_digests(formatted, expanded.limit(0)).collect()
+    assert (r["n_turns"], r["loss_chars"]) == (3, 0)
 
 
 # ----------------------------------------------------------------------- mixing
