@@ -214,7 +214,7 @@ def line_docs():
 @pytest.mark.parametrize("many, salts, fetch", [(100, 32, 64 << 20), (1, 3, 0)])
 def test_lines_against_brute_force(spark, line_docs, monkeypatch, many, salts, fetch):
     """Also with every key crowded, and without a broadcast."""
-    for name, value in (("MANY", many), ("SALTS", salts), ("BROADCAST_BYTES", fetch), ("SAMPLED", 64 if many > 1 else 1)):
+    for name, value in (("MANY", many), ("SALTS", salts), ("BROADCAST_BYTES", fetch), ("SAMPLED", 64 if many > 1 else 1), ("BLOCK_LINES", 1_024 if many > 1 else 2)):
         monkeypatch.setattr(fuzzy_lines, name, value)
     docs = spark.createDataFrame(line_docs, "doc_id long, text string")
     got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in repeated_lines(docs).collect()}
