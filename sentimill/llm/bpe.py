@@ -4,7 +4,8 @@ A vocabulary file is the ``.json`` of the ``tokenizers`` library. A text is cut
 every *sure* boundary: a space with a non-space on both sides. The pre-token
 pattern of byte-level BPE always starts a new pre-token there whatever stands
 around it, so the tokens of a text are those of its pieces one after another. The
-pieces are mostly repeated words, and their tokens are remembered.
+pieces are mostly repeated words, and their tokens are remembered. Strings of special
+tokens must be without white space: each then lies in one piece.
 """
 
 import json
@@ -32,26 +33,32 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of texts; strings of special tokens are ordinary text."""
+    """Token ids of texts; the string of a special token is that token, as the library reads it."""
 
     def __init__(self, path: str = VOCABULARY):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = _byte_of()
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {
             bytes(byte_of[c] for c in token): i
             for token, i in spec["model"]["vocab"].items()
             if token not in special
         }
         self._bpe = tiktoken.Encoding(
-            "byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
-        encode = self._bpe.encode_ordinary
+        self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        encode = self._encode
         self._ids = _Remembered(lambda piece: _bytes(encode(piece)))
         self._ids_after_space = _Remembered(lambda word: _bytes(encode(" " + word)))
         self._counts = _Remembered(lambda piece: len(encode(piece)))
 
+    def _encode(self, piece: str) -> list[int]:
+        if self._special.search(piece):
+            return self._bpe.encode(piece, allowed_special="all")
+        return self._bpe.encode_ordinary(piece)
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if _ADJACENT_WHITE.search(text):
