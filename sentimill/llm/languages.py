@@ -2,7 +2,8 @@
 
 For each row, the probability of a language is the product of
 
-- *text*: the likelihood of its letter trigrams, learnt from labelled documents. Trigrams
+- *text*: the likelihood of its letter trigrams, learnt from labelled documents; a row that
+  is learnt from is taken out of its language's counts before it is weighed. Trigrams
   overlap, so the logarithm counts with a weight below one;
 - *declared language*: how much more often rows of a language declare this value than
   others do, so a value that is declared whatever the text says counts for nothing;
@@ -17,15 +18,18 @@ if no language reaches the lowest probability.
 
 Results for odd input: a null or empty text, or one without letters, has no text
 evidence, and address and declaration decide; a null address or declaration is no
-evidence; repeated rows count once each; an empty table gives no rows; labels other than
-the given languages are not learnt from; if nothing is labelled, the text says
-nothing; columns of any name pass through in ``row``. A long text is read in blocks.
+evidence; repeated rows count once each; an empty table gives no rows. The languages are those of the labels: two or three letters,
+up to the first other character, in any case; rows with another label or none are not learnt
+from, and if nothing is labelled, the text says nothing. Of a language's only row nothing
+is left to learn from, so its text is evidence for no language. Columns of any name pass
+through in ``row``. A long text is read in blocks.
 """
 
 import html as _html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import whole_text, written
 
-LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
 
 # Trigrams are told apart by this many bits of their hash.
@@ -62,6 +65,9 @@ BROADCAST_BYTES = 64 << 20
 # Code points read at once.
 BLOCK = 1 << 20
 
+# Languages whose counts a task holds before it passes them on.
+HELD = 64
+
 
 # ------------------------------------------------------------------------ text
 
@@ -92,37 +98,66 @@ def visible_text(markup: str) -> str:
     return _html.unescape(_UNSEEN.sub(" ", markup))
 
 
-def trigram_counts(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """How often each trigram occurs in all texts (``text, lang``) of each language.
+def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a text and how often they occur."""
+    whole = None
+    for found in trigrams(text):
+        if whole is None and len(text) < BLOCK:
+            return np.unique(found, return_counts=True)
+        whole = np.zeros(1 << BITS, np.int64) if whole is None else whole
+        whole += np.bincount(found, minlength=1 << BITS)
+    whole = np.zeros(0, np.int64) if whole is None else whole
+    seen = np.flatnonzero(whole)
+    return seen, whole[seen]
+
+
+class TrigramCounts(NamedTuple):
+    """How often each trigram occurs in each language: a row of ``counts`` for each of ``languages``."""
+
+    languages: tuple[str, ...]
+    counts: np.ndarray
+
+
+def language_of(label: Column) -> Column:
+    """The language that a label names, in lower case; null if it names none."""
+    found = F.lower(F.regexp_extract(F.trim(label), r"\A([A-Za-z]{2,3})(?![A-Za-z])", 1))
+    return F.when((found != "") & (found != UNKNOWN), found)
+
+
+def trigram_counts(labelled: DataFrame) -> TrigramCounts:
+    """Counts over all texts (``text, lang``) of each language that a label names.
 
-    At most ``2 ** BITS`` rows reach the driver.
+    The driver gets ``2 ** BITS`` rows a language at most.
     """
 
+    def rows(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(counts[seen])], names=["lang", "trigram", "n"]
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << BITS), np.int64)
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row = counts[languages.index(lang)]
-                for found in trigrams(text.as_py()):
-                    np.add.at(row, found, 1)
-        seen = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), *(pa.array(row[seen]) for row in counts)],
-            names=["trigram", *(f"n{i}" for i in range(len(languages)))],
-        )
-
-    names = [f"n{i}" for i in range(len(languages))]
-    rows = labelled.filter(F.col("lang").isin(*languages)).select("lang", whole_text().alias("text"))
-    table = (
-        rows.mapInArrow(count, "trigram long, " + ", ".join(f"{n} long" for n in names))
-        .groupBy("trigram")
-        .agg(*[F.sum(n).alias(n) for n in names])
-        .toArrow()
-    )
+                if lang not in held and len(held) >= HELD:
+                    yield from rows(held)
+                    held = {}
+                counts = held.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                seen, n = histogram(text.as_py())
+                counts[seen] += n
+        yield from rows(held)
+
+    texts = labelled.select(language_of(F.col("lang")).alias("lang"), whole_text().alias("text")).filter("lang is not null")
+    counted = texts.mapInArrow(count, "lang string, trigram long, n long")
+    table = counted.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toArrow()
+    languages = tuple(sorted(set(table["lang"].to_pylist())))
     counts = np.zeros((len(languages), 1 << BITS), np.int64)
-    for row, name in zip(counts, names):
-        row[table["trigram"].to_numpy()] = table[name].to_numpy()
-    return counts
+    place = {lang: i for i, lang in enumerate(languages)}
+    row = np.array([place[x] for x in table["lang"].to_pylist()], np.int64)
+    counts[row, table["trigram"].to_numpy()] = table["n"].to_numpy()
+    return TrigramCounts(languages, counts)
 
 
 def log_likelihoods(counts: np.ndarray) -> np.ndarray:
@@ -164,55 +199,65 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _text_evidence(rows: DataFrame, model: np.ndarray, is_markup: bool) -> DataFrame:
-    """``row, host, declared, n_trigrams, evidence``: weighted log likelihoods of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    width = model.shape[1]
+def _text_evidence(rows: DataFrame, learnt: TrigramCounts, is_markup: bool) -> DataFrame:
+    """``row, host, declared, n_trigrams, evidence``: weighted log likelihoods of the text.
+
+    A row with a ``_label`` is part of the counts of that language, and is taken out of them.
+    """
+    place = {lang: i for i, lang in enumerate(learnt.languages)}
+    shared = rows.sparkSession.sparkContext.broadcast((log_likelihoods(learnt.counts), learnt.counts, learnt.counts.sum(axis=1)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, counts, totals = shared.value
         for batch in batches:
             sizes, sums = [], []
-            for text in batch.column("_text"):
-                text = visible_text(text.as_py()) if is_markup else text.as_py()
-                n, total = 0, np.zeros(width)
-                for found in trigrams(text):
-                    n += len(found)
-                    total += table[found].sum(axis=0, dtype=np.float64)
+            for text, label in zip(batch.column("_text"), batch.column("_label").to_pylist()):
+                seen, often = histogram(visible_text(text.as_py()) if is_markup else text.as_py())
+                n = int(often.sum())
+                sum_ = often.astype(np.float64) @ table[seen]
+                if (own := place.get(label)) is not None:
+                    others = np.log(counts[own, seen] - often + SMOOTHING) - np.log(totals[own] - n + SMOOTHING * (1 << BITS))
+                    sum_[own] = often @ others
                 sizes.append(n)
-                sums.append(TEXT_WEIGHT * total)
-            kept = batch.drop_columns(["_text"])
+                sums.append(TEXT_WEIGHT * sum_)
+            kept = batch.drop_columns(["_text", "_label"])
             evidence = pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(sizes, pa.int64()), evidence], names=[*kept.schema.names, "n_trigrams", "evidence"]
             )
 
-    kept = rows.drop("_text").schema
+    kept = rows.drop("_text", "_label").schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_trigrams long, evidence array<double>"
     return rows.mapInArrow(weigh, schema)
 
 
+def _even_prior(width: int) -> np.ndarray:
+    """All languages alike, and none of them rarely."""
+    return np.array([(1 - UNKNOWN_PRIOR) / max(width - 1, 1)] * (width - 1) + [UNKNOWN_PRIOR])
+
+
 def _vector_sum(width: int) -> Column:
     return F.array(*[F.sum(F.col("said")[i]) for i in range(width)])
 
 
 def identify(
     rows: DataFrame,
-    counts: np.ndarray,
+    learnt: TrigramCounts,
     text: str | None = "text",
     markup: str | None = None,
     host_name: Column | None = None,
     declared: Column | None = None,
     carry: list[str] | None = None,
-    languages: tuple[str, ...] = LANGUAGES,
+    label: Column | None = None,
 ) -> DataFrame:
     """``row, language, probability, text_language, n_trigrams, rejected`` for each of ``rows``.
 
     The text is in column ``text``, or shown by the page in column ``markup``. ``row`` is
-    the row as it came, or its columns ``carry``; these travel with the row.
+    the row as it came, or its columns ``carry``; these travel with the row. ``label`` is what
+    the rows themselves have been learnt as, if they have been.
     """
-    model = log_likelihoods(counts)
-    names, width = [*languages, UNKNOWN], model.shape[1]
+    names = [*learnt.languages, UNKNOWN]
+    width = len(names)
     nothing = F.lit(None).cast("string")
     declaration = F.lower(F.regexp_extract(F.trim(declared), r"\A[A-Za-z]+", 0)) if declared is not None else nothing
     prepared = rows.select(
@@ -220,10 +265,11 @@ def identify(
         (host_name if host_name is not None else nothing).alias("host"),
         F.when(declaration != "", declaration).alias("declared"),
         whole_text(markup or text).alias("_text"),
+        (language_of(label) if label is not None else nothing).alias("_label"),
     )
-    weighed = _text_evidence(prepared, model, markup is not None)
+    weighed = _text_evidence(prepared, learnt, markup is not None)
     # What the text alone says, ``und`` being rare; a row without letters says nothing.
-    prior = np.log([(1 - UNKNOWN_PRIOR) / (width - 1)] * (width - 1) + [UNKNOWN_PRIOR])
+    prior = np.log(_even_prior(width))
     alone = F.transform(F.arrays_zip("evidence", F.lit(prior.tolist()).alias("prior")), lambda x: x["evidence"] + x["prior"])
     largest = F.array_max("_alone")
     raised = F.transform("_alone", lambda x: F.exp(x - largest))
@@ -302,8 +348,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _address_prior(values: dict[str, np.ndarray], overall: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Counts of a level plus ``LEVEL_WEIGHT`` rows of the level above, without the row itself."""
     width = len(overall)
-    even = np.array([(1 - UNKNOWN_PRIOR) / (width - 1)] * (width - 1) + [UNKNOWN_PRIOR])
-    prior = np.broadcast_to(even, own.shape)
+    prior = np.broadcast_to(_even_prior(width), own.shape)
     for level in (np.broadcast_to(overall, own.shape), values["said_suffix"], values["said_domain"], values["said_host"]):
         # A row without an address meets zeros, which leave the level above as it is.
         counted = np.maximum(level - own, 0.0)
@@ -319,13 +364,13 @@ def _declaration(counted: np.ndarray, total: np.ndarray, own: np.ndarray, matche
     width = len(total)
     counted = np.maximum(counted - own, 0.0)
     named = matches.any(axis=1, keepdims=True)
-    believed = np.where(named, np.where(matches, 1 - WRONG_DECLARATION, WRONG_DECLARATION / (width - 1)), 1 / width)
+    believed = np.where(named, np.where(matches, 1 - WRONG_DECLARATION, WRONG_DECLARATION / max(width - 1, 1)), 1 / width)
     share = (counted + LEVEL_WEIGHT * believed) / (counted.sum(axis=1, keepdims=True) + LEVEL_WEIGHT)
     usual = (total + LEVEL_WEIGHT / width) / (total.sum() + LEVEL_WEIGHT)
     ratio = np.maximum(share, WRONG_DECLARATION / width) / usual
     # No declaration, no evidence; nor is one against text of no language.
     ratio = np.where(counted.any(axis=1, keepdims=True) | named, ratio, 1.0)
-    ratio[:, -1] = np.maximum(ratio[:, -1], ratio[:, :-1].min(axis=1)) if len(ratio) else ratio[:, -1]
+    ratio[:, -1] = np.maximum(ratio[:, -1], ratio[:, :-1].min(axis=1)) if ratio[:, :-1].size else ratio[:, -1]
     return ratio
 
 
@@ -335,15 +380,16 @@ def _declaration(counted: np.ndarray, total: np.ndarray, own: np.ndarray, matche
 def identify_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Languages of ``docs`` (``text, lang, source``): ``lang`` is declared, ``source`` the host.
 
-    The labels are at the same time what the trigrams are learnt from.
+    The labels are at the same time what the trigrams are learnt from, each row from the others.
     """
-    return identify(docs, trigram_counts(docs), host_name=F.col("source"), declared=F.col("lang"), carry=carry)
+    declared = F.col("lang")
+    return identify(docs, trigram_counts(docs), host_name=F.col("source"), declared=declared, carry=carry, label=declared)
 
 
-def identify_pages(pages: DataFrame, counts: np.ndarray, carry: list[str] | None = None) -> DataFrame:
+def identify_pages(pages: DataFrame, learnt: TrigramCounts, carry: list[str] | None = None) -> DataFrame:
     """Languages of ``pages`` (``url, html``), with trigrams learnt elsewhere."""
     return identify(
-        pages, counts, markup="html", host_name=host(F.col("url")), declared=declared_in_markup(F.col("html")), carry=carry
+        pages, learnt, markup="html", host_name=host(F.col("url")), declared=declared_in_markup(F.col("html")), carry=carry
     )
 
 
