@@ -10,6 +10,7 @@ tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.ml.functions import vector_to_array
@@ -254,13 +255,30 @@ def training_file(spark, sf_dir) -> DataFrame:
     return sm.read_training_rows(spark, path)
 
 
+@contextmanager
+def _conf(spark: SparkSession, values: dict[str, str]):
+    """Other settings for a while, those not set before taken away again."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def object_lines_with_blanks(spark, sf_dir) -> DataFrame:
     """Files of whole texts with empty lines inside and at their ends; how often each line comes.
 
     A document gives its text, an empty line, its text with ``\\r`` behind it, two empty lines and its
-    number; each of 16 files ends with three empty lines. Files are read in splits of 64 KB.
+    number; each of 16 files ends with three empty lines. Files are read in splits of 64 KB, many to
+    a task: a task and a staged file for each of them would cost more than their lines.
     """
-    path, splits = shared_path(spark, "blank-lines"), "spark.sql.files.maxPartitionBytes"
+    path = shared_path(spark, "blank-lines")
     number = F.col("doc_id").cast("string")
     body = F.concat("text", F.lit("\n\n"), "text", F.lit("\r\n\n\n"), number)
     rows = _table(spark, sf_dir, "documents").select(body.alias("value"), (F.col("doc_id") % 16).alias("part"))
@@ -268,12 +286,11 @@ def object_lines_with_blanks(spark, sf_dir) -> DataFrame:
     # The files' last lines, empty, sort behind all others.
     files = rows.withColumn("last", F.lit(0)).unionByName(parts.withColumn("last", F.lit(1)))
     sm.write_lines(files.repartition(16, "part").sortWithinPartitions("last").select("value"), path)
-    before = spark.conf.get(splits)
-    spark.conf.set(splits, "64k")
-    try:
+    with _conf(spark, {
+        "spark.sql.files.maxPartitionBytes": "64k",
+        "spark.sql.files.maxPartitionNum": str(8 * spark.sparkContext.defaultParallelism),
+    }):
         lines = sm.read_object_lines(spark, path)
-    finally:
-        spark.conf.set(splits, before)
     return lines.groupBy("value").agg(F.count("*").alias("n"))
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,20 @@ def test_spread_only_shuffles_few_splits(spark):
     assert sm.spread(spark.range(0, 10, 1, cores)).rdd.getNumPartitions() == cores
     many = spark.range(0, 10, 1, 2 * cores)
     assert sm.spread(many) is many
+
+
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    """Neither tasks nor staged files grow with the number of splits."""
+    import __spark_entry__ as entry
+
+    texts = {i: "\n".join(f"{i} {i % 7} {k} " + "x" * 200 for k in range(25)) for i in range(1_000)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr("sentimill.sources.lines.shared_path", lambda spark, purpose: str(tmp_path / purpose))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.maxPartitionNum"]
+    before = [spark.conf.get(n, None) for n in names]
+    got = {r["value"]: r["n"] for r in entry.object_lines_with_blanks(spark, str(tmp_path)).collect()}
+    bodies = [f"{text}\n\n{text}\r\n\n\n{i}" for i, text in texts.items()]
+    assert got == Counter(line for body in bodies for line in body.split("\n"))
+    # 10 MB in splits of 64 KB are 160.
+    assert len(list((tmp_path / "object-lines").glob("part-*"))) <= 8 * spark.sparkContext.defaultParallelism
+    assert [spark.conf.get(n, None) for n in names] == before
