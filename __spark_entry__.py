@@ -479,16 +479,20 @@ def replaced_model(spark, sf_dir) -> DataFrame:
     turned, reviews = sm.train(rows.withColumn("label", 1 - F.col("label"))), _all_reviews(spark, sf_dir)
     straight = sm.train(rows)
     first = sm.save_model(turned, path)
-    answers = [("first save", turned, sm.load_model(path))]
+    answers = [("first save", "turned", sm.load_model(path))]
     sm.save_model(straight, path)
-    answers += [("second save", straight, sm.load_model(path)), ("first version", turned, sm.load_model(path, first))]
-    found = None
-    for name, model, loaded in answers:
-        expected = loaded.transform(model.transform(reviews).select("review", vector_to_array("probability")[1].alias("p")))
-        differs = ~vector_to_array("probability")[1].eqNullSafe(F.col("p"))
-        one = expected.agg(F.lit(name).alias("loaded"), F.count("*").alias("n_documents"), F.count_if(differs).alias("n_different"))
-        found = one if found is None else found.unionByName(one)
-    return found
+    answers += [("second save", "straight", sm.load_model(path)), ("first version", "turned", sm.load_model(path, first))]
+    # One pass over the reviews answers by all five models.
+    scored = reviews
+    for name, model in [("turned", turned), ("straight", straight), *((name, loaded) for name, _, loaded in answers)]:
+        scored = model.transform(scored).select(*scored.columns, vector_to_array("probability")[1].alias(name))
+    n_different = [F.count_if(~F.col(name).eqNullSafe(F.col(expected))) for name, expected, _ in answers]
+    counts = scored.agg(F.count("*").alias("n"), *[n.alias(name) for n, (name, _, _) in zip(n_different, answers)])
+    rows_of = [
+        F.struct(F.lit(name).alias("loaded"), F.col("n").alias("n_documents"), F.col(name).alias("n_different"))
+        for name, _, _ in answers
+    ]
+    return counts.select(F.inline(F.array(*rows_of)))
 
 
 def predictions_recomputed(spark, sf_dir) -> DataFrame:

@@ -47,3 +47,13 @@ def test_no_python_in_the_plans(spark):
     for name in ("build_features", "legacy_features", "training_rows", "term_frequencies", "hashed_tf"):
         plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "InPandas" not in plan, name
+
+
+def test_a_replaced_model_is_asked_in_one_scan(spark, monkeypatch):
+    """All five models answer a document where it is read, and another version's answers are found."""
+    load = entry.sm.load_model
+    monkeypatch.setattr(entry.sm, "load_model", lambda path, version=None: load(path))
+    found = QUERIES["replaced_model"](spark, SF_DIR)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    different = {r["loaded"]: r["n_different"] for r in found.collect()}
+    assert different["first save"] == different["second save"] == 0 < different["first version"]
