@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentimill.llm import fuzzy_lines, near_documents
+from sentimill.llm import components, fuzzy_lines, near_documents
 from sentimill.llm.components import connected_components
 from sentimill.llm.fuzzy_lines import repeated_lines, without_repeated_lines
 from sentimill.llm.near_documents import near_duplicates, registers, without_near_duplicates
@@ -68,6 +68,30 @@ def test_components_of_nothing(spark):
     assert connected_components(none).count() == 0
 
 
+def test_few_edges_are_written_by_few_tasks(spark, monkeypatch):
+    files = defaultdict(list)
+    of_module = components.written
+
+    def written(df, purpose):
+        files[purpose].append(df.rdd.getNumPartitions())
+        return of_module(df, purpose)
+
+    monkeypatch.setattr(components, "written", written)
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = {name: spark.conf.get(name) for name in names}
+    cores = spark.sparkContext.defaultParallelism
+    for name, value in zip(names, [str(4 * cores), "false", "-1"]):
+        spark.conf.set(name, value)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+        found = connected_components(edges).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {r["root"] for r in found} == {0} and len(found) == 41
+    assert max(files["pointers"] + files["edges"][1:]) <= cores
+
+
 # -------------------------------------------------------------------- documents
 
 
