@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -265,6 +266,38 @@ def test_lines_of_odd_rows(odd, empty):
     assert repeated_lines(empty).count() == 0 and without_repeated_lines(empty).count() == 0
 
 
+def test_a_long_line_is_not_copied_for_each_of_its_runs(spark):
+    def seconds(line):
+        coded = fuzzy_lines.computed_once(spark.createDataFrame([(line,)], "line string").select(fuzzy_lines._coded(F.col("line")).alias("c")))
+        began = time.monotonic()
+        (n,) = coded.select(F.size(fuzzy_lines.shingles(F.col("c")))).first()
+        assert n == len({line[i : i + 9] for i in range(len(line) - 8)})
+        return time.monotonic() - began
+
+    line = "".join(random.Random(3).choices("abcdefgh 中é", k=200_000))
+    short = min(seconds(line[:20_000]) for _ in range(3))
+    # Ten times the runs; copied whole for each of them, a hundred times the bytes.
+    assert seconds(line) < 20 * short + 2
+
+
+def test_bitmaps_rule_out_unlike_pairs_and_no_like_ones(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(400)]
+    rows, pairs = [], []
+    for i in range(120):
+        own = rng.choices(words, k=rng.choice([1, 3, 20, 60, 300]))
+        other = [w if rng.random() > i / 400 else rng.choice(words) for w in own]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i + 1, 2 * i))
+    runs = {i: {line[j : j + 9] for j in range(max(1, len(line) - 8))} for i, line in rows}
+    alike = {(a, b) for a, b in pairs if 100 * len(runs[a] & runs[b]) >= 80 * len(runs[a] | runs[b])}
+    figures = fuzzy_lines._figures(spark.createDataFrame(rows, "id long, line string")).cache()
+    assert {r["id"]: r["n"] for r in figures.collect()} == {i: len(s) for i, s in runs.items()}
+    left = {(r["a"], r["b"]) for r in fuzzy_lines._possible(spark.createDataFrame(pairs, "a long, b long"), figures, 80).collect()}
+    assert alike <= left and 10 < len(alike) < 110
+    assert len(left - alike) < (len(pairs) - len(alike)) / 2
+
+
 def test_no_python_on_the_path_of_lines(documents):
     plan = repeated_lines(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
