@@ -93,11 +93,15 @@ def mix_sources(
     n_rows, total = sources.agg(F.sum("n"), F.sum("source_size")).first()
     targets = source_targets(sources, weights, share, max_repeats)
     chunk, order = hash_chunk("_order", chunk_count(n_rows or 0)), ["_order", "doc_id", "size"]
-    drawn = written(running_totals(queued, ["_key"], chunk, order, F.col("size"), targets), "drawn")
 
+    def drawn(rows: DataFrame) -> DataFrame:
+        return running_totals(rows, ["_key"], chunk, order, F.col("size"), targets)
+
+    # The cut is found without the documents, which are dealt once, for the result, and not written again.
+    drawn_sizes = written(drawn(queued.select("_key", "doc_id", "size", "_order")), "drawn")
     uses = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))
     taken = (
-        drawn.filter("size > 0 and target > 0")
+        drawn_sizes.filter("size > 0 and target > 0")
         .select("size", "_order", "source_size", "target", "through", uses.alias("_use"))
         .withColumn("_finish", _finish(F.col("_use")))
     )
@@ -107,7 +111,7 @@ def mix_sources(
         start=F.lit(0),
     )
     usable = F.coalesce((F.col("size") > 0) & (F.col("target") > 0), F.lit(False))
-    return drawn.select("doc", "size", "source_size", "target", F.when(usable, copies).otherwise(0).alias("copies"))
+    return drawn(queued).select("doc", "size", "source_size", "target", F.when(usable, copies).otherwise(0).alias("copies"))
 
 
 def _finish(use: Column) -> Column:

@@ -180,3 +180,18 @@ def test_mixing_odd_rows(spark, odd, empty):
     assert mix_sources(empty).count() == 0 and mixed_documents(mix_sources(empty)).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r["size"], r["target"], r["copies"]) for r in mix_sources(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_the_texts_are_written_once(spark, monkeypatch):
+    rows = [(i, f"some words of text {i} " * (i % 5 + 1), "en", "ab"[i % 2], 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    with_text, write = [], mixing.written
+
+    def recorded(df, purpose):
+        if "text" in df.schema.simpleString():
+            with_text.append(purpose)
+        return write(df, purpose)
+
+    monkeypatch.setattr(mixing, "written", recorded)
+    taken = [r["doc_id"] for r in mixed_documents(mix_sources(docs)).collect()]
+    assert taken and with_text == ["sized"]
