@@ -17,6 +17,13 @@ def workers(spark):
     spark.sparkContext.environment["PYTHONPATH"] = ROOT
 
 
+@pytest.fixture(autouse=True, scope="module")
+def uncached(spark):
+    """What a module's tests have cached goes with them: others look at all that is kept."""
+    yield
+    spark.catalog.clearCache()
+
+
 LONG = " ".join(f"word{i % 997} und{i % 31}" for i in range(40_000))
 
 ODD_ROWS = [
